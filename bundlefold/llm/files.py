@@ -26,6 +26,11 @@ def write(folder: str, name: str, parts) -> str:
     return f"{folder}/{path.rpartition('/')[2]}"
 
 
+def rename(path: str, to: str) -> None:
+    store, at = _at(path)
+    store.move(at, _at(to)[1])
+
+
 def opened(path: str):
     store, at = _at(path)
     return store.open_input_file(at)

@@ -41,6 +41,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import secret_findings
+
+    return secret_findings(common.table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .maxent import lm_scores
 
@@ -53,6 +59,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drill: pages are written as WARC files, a replica is made in which a byte of one record in 97 is changed, and
+    the audit of the two has to find just these."""
+    from .fixity import audit, copy_replica, read_warc, write_warc
+    from .tokenfile import shard_count
+
+    pages = common.table(spark, sf_dir, "pages")
+    one, two = common.new_folder(spark, "warc"), common.new_folder(spark, "warc-replica")
+    index = write_warc(pages, one, shard_count(spark, pages, "html"))
+    copy_replica(index, one, two, "page_id % 97 = 13")
+    payloads = read_warc(index, one).select("file", "ordinal", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("payload_sha256"), "intact")
+    return audit(index, one, two).join(payloads, ["file", "ordinal"]).select("page_id", "n_bytes", "payload_sha256", "intact", "damaged")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngramjoin import near_duplicates
 
@@ -81,4 +101,8 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_benchmark_decontamination": _OP3_SQL}
+_OP9_SQL = """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n_bytes, sha256(coalesce(html, '')) AS payload_sha256, true AS intact, page_id % 97 = 13 AS damaged FROM pages
+"""
+
+ORACLE_SQL = {"op9_warc_fixity": _OP9_SQL, "op3_benchmark_decontamination": _OP3_SQL}
