@@ -20,6 +20,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import build, neighbours
+
+    rows = common.table(spark, sf_dir, "embeddings")
+    return neighbours(build(rows, 20), rows.where("vec_id % 20 = 0"), 20)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import benchmark_hits
 
