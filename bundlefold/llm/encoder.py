@@ -2,7 +2,9 @@
 
 A text is cut before single spaces that stand between two characters that aren't white space. Neither pre-tokenizer
 lets a token or a merge cross such a place, so the ids of the pieces, joined, are the ids of the text. A text with any
-other space (runs of white space, a trailing space) goes to the library whole. Pieces are kept in a bounded cache.
+other space (runs of white space, a trailing space) goes to the library whole. Of a piece of letters and one mark after
+them, both parts are known apart. New pieces go to the library many at a time, a special token between them, at which
+it parts texts. Pieces are kept in a bounded cache; when that is full, it keeps what came first, the frequent pieces.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ import os
 
 import numpy as np
 
-#: Pieces kept in a worker.
-CACHE = 300_000
+#: Pieces kept in a worker, and stems (pieces without case, where the tokenizer drops it, and without a last mark).
+CACHE, STEMS = 400_000, 600_000
 #: Characters above which a piece isn't kept.
 LONG = 64
+#: Marks that stand alone after letters, in either tokenizer.
+MARKS = tuple(".,;:!?|\"")
 #: Characters above which a text is cut into spans, at safe places, before anything else.
 SPAN = 1 << 18
 
@@ -42,11 +46,39 @@ class Encoder:
         pre = json.loads(self.tok.to_str()).get("pre_tokenizer") or {}
         #: Whether white space is dropped between tokens; else a space leads its word.
         self.drops = pre.get("type") != "ByteLevel"
+        added = [(t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip and t.content.isascii()]
+        #: A special token to part pieces by, and its id.
+        self.apart = added[0] if added else None
         self.cache: dict[str, bytes | None] = {}
+        self.stems: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def many(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of many short pieces."""
+        if not self.apart:
+            return self.whole(pieces)
+        mark, number = self.apart
+        odd = [k for k, p in enumerate(pieces) if mark in p]
+        if odd:
+            out: list = [None] * len(pieces)
+            for k, x in zip(odd, self.whole([pieces[k] for k in odd]), strict=True):
+                out[k] = x
+            rest = [k for k in range(len(pieces)) if out[k] is None]
+            for k, x in zip(rest, self.many([pieces[k] for k in rest]), strict=True):
+                out[k] = x
+            return out
+        out = []
+        joined = [mark.join(pieces[lo : lo + 512]) for lo in range(0, len(pieces), 512)]
+        for e in self.tok.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == number)
+            raw = ids.tobytes()
+            out += [raw[4 * a + 4 : 4 * b] for a, b in zip([-1, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+        return out
+
     def _pieces(self, text: str) -> list[str]:
         if self.drops:
             return text.replace("\n", " ").split(" ")
@@ -55,18 +87,38 @@ class Encoder:
         return pieces
 
     def _learn(self, missing: list[str]) -> dict[str, bytes | None]:
-        if self.drops:
-            return dict(zip(missing, self.whole(missing), strict=True))
-        texts, keys, out = [], [], {}
+        out: dict[str, bytes | None] = {}
+        lead = "" if self.drops else " "
+        parts, ask, stems = [], {}, self.stems
         for p in missing:
-            begins = p[:1] == "\0"
-            body = p[1:] if begins else p
-            if body and (body[-1].isspace() or not begins and body[0].isspace()) or not body and not begins or begins and "\0" in body:
+            if p[-1:] in MARKS and p[:-1].isalpha():
+                stem, mark = p[:-1], p[-1]
+            elif p.isalpha():
+                stem, mark = p, ""
+            elif p[:1] == "\0" and not self.drops:  # at the start of a text, no space leads it
+                if p[-1].isspace() or "\0" in p[1:]:
+                    out[p] = None
+                else:
+                    parts.append((p, p, ""))
+                    ask[p] = p[1:]
+                continue
+            elif not self.drops and (not p or p[0].isspace() or p[-1].isspace()):
                 out[p] = None
+                continue
             else:
-                keys.append(p)
-                texts.append(body if begins else " " + body)
-        out.update(zip(keys, self.whole(texts), strict=True))
+                stem, mark = p, ""
+            if self.drops and stem.isascii():
+                stem = stem.lower()
+            parts.append((p, stem, mark))
+            if stem not in stems:
+                ask[stem] = lead + stem
+        learnt = dict(zip(ask, self.many(list(ask.values())), strict=True)) if ask else {}
+        if len(stems) < STEMS:
+            stems.update((k, v) for k, v in learnt.items() if len(k) <= LONG)
+        marks = self.marks
+        for p, stem, mark in parts:
+            ids = learnt[stem] if stem in learnt else stems[stem]
+            out[p] = ids + marks[mark] if mark else ids
         return out
 
     def spans(self, text: str) -> list[str]:
@@ -92,22 +144,23 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self._pieces(t) for t in texts]
         cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
         missing = set().union(*pieces).difference(cache)
-        extra = None
+        spare: list[str] = []
         if missing:
             learnt = self._learn(list(missing))
-            kept = {k: v for k, v in learnt.items() if len(k) <= LONG}
-            cache.update(kept)
-            if len(kept) < len(learnt):
-                extra = learnt
+            if len(cache) + len(learnt) > CACHE:
+                spare = list(learnt)
+            else:
+                spare = [k for k in learnt if len(k) > LONG]
+            cache.update(learnt)
         out: list[bytes | None] = []
         for p in pieces:
             try:
-                out.append(b"".join([cache[x] if x in cache else extra[x] for x in p] if extra else map(cache.__getitem__, p)))
+                out.append(b"".join(map(cache.__getitem__, p)))
             except TypeError:  # a piece that can't be cut out
                 out.append(None)
+        for k in spare:
+            del cache[k]
         if again := [i for i, x in enumerate(out) if x is None]:
             for i, ids in zip(again, self.whole([texts[i] for i in again]), strict=True):
                 out[i] = ids
