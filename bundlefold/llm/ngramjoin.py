@@ -31,7 +31,7 @@ _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.i
 _SETS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("bands", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
 
-def bands_for(threshold: float, recall: float = 0.9995, hashes: int = 288) -> tuple[int, int]:
+def bands_for(threshold: float, recall: float = 0.9995, hashes: int = 160) -> tuple[int, int]:
     """(bands, rows): the most rows in a band, so the fewest chance candidates, with which a pair at the threshold
     shares a band with at least the wanted chance and no more than `hashes` are computed."""
     for rows in range(32, 0, -1):
@@ -171,7 +171,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     banded = reps.select("doc_id", F.explode("bands").alias("h"))  # a band's number is part of its hash
     least = banded.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     stars = banded.join(least.select("h", "least"), "h").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    groups = components(stars)
+    # a text's edges lead to the least of its buckets; that one is joined with the text's other leasts, which few texts make
+    ways = stars.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all"))  # no more than there are bands
+    ways = common.cut(ways, "ways")
+    edges = ways.select("a", F.col("m").alias("b")).unionAll(ways.select(F.col("m").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct())
+    groups = components(edges)
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     members = members.join(classes.select(F.col("rep").alias("doc_id"), "k1", "copies"), "doc_id")
