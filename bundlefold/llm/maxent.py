@@ -185,7 +185,7 @@ def _joined(parts: dict[int, np.ndarray], rows: int, width: int) -> np.ndarray:
     kind = next(iter(parts.values())).dtype if parts else np.float32
     out = np.zeros((size * PARTS, width), kind)
     for p, x in parts.items():
-        out[p * size : (p + 1) * size] = x.reshape(-1, width)
+        out[p * size : p * size + len(x) // width] = x.reshape(-1, width)
     return out[:rows]
 
 
@@ -276,8 +276,9 @@ def gradient_round(ids: DataFrame, shared, step: int, rate: float = 0.7) -> np.n
     return weights, np.where(met > 0, total[:, CLASSES:-1], old[1]).astype(np.float32)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs. head_size: how many
+    words have ids of their own, HEAD at most."""
     spark = docs.sparkSession
     common.prepare(spark)
     sc = spark.sparkContext
@@ -286,9 +287,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     counts = common.cut(word_counts(rows.where(~F.col("held_out")).select("text")), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(END.astype(np.int64))
-    top = counts.orderBy((F.col("h") == end).desc(), F.col("n").desc(), "h").limit(HEAD).collect()
+    top = counts.orderBy((F.col("h") == end).desc(), F.col("n").desc(), "h").limit(head_size).collect()
     head = Head(np.array([r["h"] for r in top], np.int64).view(U), np.array([r["n"] for r in top], np.float64))
-    if len(top) < HEAD:
+    if len(top) < head_size:
         rare = counts.where("false")
     else:
         last = top[-1]

@@ -23,10 +23,26 @@ def test_encoder_equals_library(name, monkeypatch):
 
     tok = Tokenizer.from_file(tokenizer_path(name))
     want = [e.ids for e in tok.encode_batch(texts(), add_special_tokens=False)]
-    for span in (1 << 18, 20):
+    raw = [t.encode() for t in texts()]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    for span, entries in ((1 << 22, 1 << 20), (20, 1 << 20), (1 << 22, 50)):
         monkeypatch.setattr(encoder, "SPAN", span)
-        got = encoder.Encoder(tokenizer_path(name)).encode(texts())
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+        monkeypatch.setattr(encoder, "ENTRIES", entries)
+        e = encoder.Encoder(tokenizer_path(name))
+        for lo, hi in ((0, len(raw)), (0, 40), (40, len(raw))):  # twice: from the table too
+            ids, firsts = e.encode(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            assert [ids[a:b].tolist() for a, b in zip(firsts[:-1], firsts[1:], strict=True)] == want[lo:hi]
+
+
+def test_table_under_pressure():
+    rng = np.random.default_rng(4)
+    t = encoder.Table(3000)
+    h = np.unique(rng.integers(0, 1 << 63, 2900, dtype=np.uint64) & ~np.uint64(0xFFF) | rng.integers(0, 8, 2900, dtype=np.uint64))
+    check = rng.integers(0, 1 << 40, len(h), dtype=np.uint64)
+    t.keep(h, t.add(check, [int(k).to_bytes(4, "little") * (k % 3) for k in range(len(h))]))
+    found = t.find(h, check)
+    assert found.tolist() == list(range(len(h)))
+    assert (t.find(h + np.uint64(1), check)[~np.isin(h + np.uint64(1), h)] == -1).all() and (t.find(h, check + np.uint64(1)) == -1).all()
 
 
 def frame(spark):
