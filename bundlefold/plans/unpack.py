@@ -63,56 +63,54 @@ def _checked_trailer(spark: SparkSession, archive: str, frames: DataFrame, total
 def unpack(spark: SparkSession, archive: str, output: str, config: UnpackConfig | None = None, counters: dict[str, int] | None = None) -> DataFrame:
     """Restores the tree of a container below output; returns the run's statistics as one row, and puts counters into a
     dict that is given. The root's own metadata aren't restored."""
-    config, clock = config or UnpackConfig(), _Clock()
-    counters = {} if counters is None else counters
-    owner = config.restore_owner == "preserve"
     if not os.path.isfile(archive):
         raise FileSystemError(f"no such archive: {archive}")
     try:
-        header = read_container(spark, archive, "header").first()
-        clock.lap("header")
-        entries, extents = keep(read_container(spark, archive, "entries"), "entries"), keep(read_container(spark, archive, "extents"), "extents")
-        clock.lap("manifest")
-        frames = read_container(spark, archive, "frames")
-        # sizes from the frames' headers: no payload is asked for twice, as tables are kept
-        frames = keep(frames, "frames")
-        totals = tuple(frames.agg(F.count("*"), F.coalesce(F.sum("raw_len"), F.lit(0)), F.coalesce(F.sum("encoded_len"), F.lit(0))).first())
-        clock.lap("frame_read")
+        return _unpack(spark, archive, output, config or UnpackConfig(), {} if counters is None else counters)
     except Exception as e:
         raise _cause(e) from e
+
+
+def _unpack(spark: SparkSession, archive: str, output: str, config: UnpackConfig, counters: dict[str, int]) -> DataFrame:
+    clock = _Clock()
+    owner = config.restore_owner == "preserve"
+    header = read_container(spark, archive, "header").first()
+    clock.lap("header")
+    entries, extents = keep(read_container(spark, archive, "entries"), "entries"), keep(read_container(spark, archive, "extents"), "extents")
+    clock.lap("manifest")
+    frames = keep(read_container(spark, archive, "frames"), "frames")
+    totals = tuple(frames.agg(F.count("*"), F.coalesce(F.sum("raw_len"), F.lit(0)), F.coalesce(F.sum("encoded_len"), F.lit(0))).first())
+    clock.lap("frame_read")
     trailer = bool(header["feature_flags_bits"] & 16)
     restore.check_names(entries)
     paths = keep(entry_paths(entries).select("entry_id", "components", "depth").join(entries.select("entry_id", "kind", "mode", "uid", "gid", "mtime_sec", "mtime_nsec", "size", "link_target", "extent_count", "hardlink_master_entry_id"), "entry_id"), "targets")
     if trailer and config.trailer_first:
         _checked_trailer(spark, archive, frames, totals)
         counters["trailer_verify_count"] = 1
-    try:
-        os.makedirs(output, exist_ok=True)
-        restore.clear_marker(output)
-        folders = paths.where("kind = 'directory'")
-        if not config.overwrite:
-            restore.check_free(paths.where("depth > 0 and kind <> 'directory'"), output)
-        restore.make_folders(folders, output)
-        setup = clock.total()
-        pieces = file_pieces(decoded(frames, header["data_codec"]), extents)
-        clock.lap("decode")
-        files = restore.write_files(pieces, paths.where("kind = 'regular'"), output, owner)
-        clock.lap("scatter")
-        pipeline = clock.total() - setup
-        symlinks = restore.make_symlinks(paths.where("kind = 'symlink'"), output)
-        masters = paths.select(F.col("entry_id").alias("hardlink_master_entry_id"), F.col("components").alias("master"))
-        links = paths.where("kind = 'hardlink'").drop("master").join(masters, "hardlink_master_entry_id")
-        hardlinks = restore.make_hardlinks(links, output)
-        finished = restore.finish_folders(folders, output, owner)
-        if trailer and not config.trailer_first:
-            try:
-                _checked_trailer(spark, archive, frames, totals)
-            except IntegrityError:
-                restore.set_marker(output)
-                raise
-            counters["trailer_verify_count"] = 1
-    except Exception as e:
-        raise _cause(e) from e
+    os.makedirs(output, exist_ok=True)
+    restore.clear_marker(output)
+    folders = paths.where("kind = 'directory'")
+    if not config.overwrite:
+        restore.check_free(paths.where("depth > 0 and kind <> 'directory'"), output)
+    restore.make_folders(folders, output)
+    setup = clock.total()
+    pieces = file_pieces(decoded(frames, header["data_codec"]), extents)
+    clock.lap("decode")
+    files = restore.write_files(pieces, paths.where("kind = 'regular'"), output, owner)
+    clock.lap("scatter")
+    pipeline = clock.total() - setup
+    symlinks = restore.make_symlinks(paths.where("kind = 'symlink'"), output)
+    masters = paths.select(F.col("entry_id").alias("hardlink_master_entry_id"), F.col("components").alias("master"))
+    links = paths.where("kind = 'hardlink'").drop("master").join(masters, "hardlink_master_entry_id")
+    hardlinks = restore.make_hardlinks(links, output)
+    finished = restore.finish_folders(folders, output, owner)
+    if trailer and not config.trailer_first:
+        try:
+            _checked_trailer(spark, archive, frames, totals)
+        except IntegrityError:
+            restore.set_marker(output)
+            raise
+        counters["trailer_verify_count"] = 1
     clock.lap("restore_finalize")
     counters |= bundle_counters(extents).first().asDict() | {
         "worker_count": config.threads or header["suggested_parallelism"], "file_create_count": files["files"], "extents_written": files["extents"], "bytes_written": files["bytes"], "write_ns": files["ns"],
