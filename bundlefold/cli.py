@@ -1,4 +1,4 @@
-"""Command line: python -m bundlefold pack | unpack | dump | workload."""
+"""Command line: python -m bundlefold pack | unpack | dump | workload | suite."""
 
 from __future__ import annotations
 
@@ -40,6 +40,11 @@ def parser() -> argparse.ArgumentParser:
     d = sub.add_parser("workload", help="write the files of a workload recipe")
     d.add_argument("recipe")
     d.add_argument("output_dir")
+    e = sub.add_parser("suite", help="pack and unpack a workload with this engine and with tar, and write a report")
+    e.add_argument("recipe")
+    e.add_argument("output_dir")
+    e.add_argument("report_json")
+    e.add_argument("--dry-run", action="store_true")
     return p
 
 
@@ -75,6 +80,11 @@ def run(args: argparse.Namespace, spark=None) -> str:
         if args.summary_out:
             dump.write_json(dump.summary(told), args.summary_out)
         return ""
+    elif args.command == "suite":
+        from .plans import report, suite
+
+        report.write_report(args.report_json, suite.run_suite(spark, workload.Recipe(spark, args.recipe), args.output_dir, args.dry_run))
+        return ""
     else:
         recipe = workload.Recipe(spark, args.recipe)
         broken = workload.broken_terms(workload.planned_summary(spark, recipe), recipe.fields["expected_contract"]).collect()

@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from ..errors import FileSystemError, IntegrityError
 from ..functions import blake3, codecs
-from ..tables import in_order
+from ..tables import bound_batches, in_order
 
 _FRAMES = "bundle_id long, raw_len long, encoded_len long, flags int, frame_hash long, payload binary"
 _ARROW = pa.schema([("bundle_id", pa.int64()), ("raw_len", pa.int64()), ("encoded_len", pa.int64()), ("flags", pa.int32()), ("frame_hash", pa.int64()), ("payload", pa.binary())])
-#: Bundles in an Arrow batch: each can be as large as the target.
-ROWS_PER_BATCH = 8
 
 
 def _frame(bundle_id: int, raw: bytes, codec: str, level: int) -> pa.RecordBatch:
@@ -75,7 +73,7 @@ def _read(path: bytes, offset: int, length: int) -> bytes:
 
 def decoded(frames: DataFrame, codec: str, check: bool = True) -> DataFrame:
     """bundle_id and raw bytes of frames; payloads have to decode to raw_len bytes whose hash is the frame's."""
-    frames.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    bound_batches(frames.sparkSession)
     schema = pa.schema([("bundle_id", pa.int64()), ("raw", pa.binary())])
 
     def work(batches):

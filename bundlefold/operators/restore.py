@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import FileSystemError, UnsafePath
+from ..tables import bound_batches
 
 MARKER = ".bundlefold-untrusted"
 _DIR = os.O_RDONLY | os.O_DIRECTORY | os.O_NOFOLLOW
@@ -153,6 +154,7 @@ def _replace(fd: int, temporary: bytes, name: bytes, where: tuple[bytes, ...]) -
 def write_files(pieces: DataFrame, files: DataFrame, root: str, owner: bool) -> dict:
     """Writes regular files from their pieces (entry_id, file_offset, piece); files has components and metadata. A file
     without pieces is empty. All pieces of a file go to one task, in order, and are written one after the other."""
+    bound_batches(files.sparkSession)
     columns = ("entry_id", "components", "size", "mode", "uid", "gid", "mtime_sec", "mtime_nsec")
     rows = files.select(*columns).join(pieces, "entry_id", "left").repartition("entry_id").sortWithinPartitions("entry_id", "file_offset")
 

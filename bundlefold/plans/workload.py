@@ -85,7 +85,7 @@ def json_entries(names: str | Column, indent: int = 4) -> Column:
 
 
 def context() -> dict[str, Column]:
-    """What a package's templates are filled with."""
+    """What a package's templates are filled with. The wording of the entries."""
     d = F.col("dependency_names")
     return {
         "PACKAGE_NAME": F.col("name"), "PACKAGE_SAFE_NAME": safe_name("name"), "PACKAGE_VERSION": F.format_string("1.%d.0", F.col("index") % 9 + 1), "PACKAGE_DEPTH": F.col("depth").cast("string"),

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..config import PackConfig
 from ..errors import FormatError
 from ..functions import blake3
-from ..operators.frames import ROWS_PER_BATCH, archive_digest
+from ..operators.frames import archive_digest
 from ..schemas import BUNDLE_KIND, ENTRY_KIND
-from ..tables import in_order
+from ..tables import bound_batches, in_order
 from . import layout
 
 
@@ -55,8 +55,7 @@ def header_bytes(manifest_raw: bytes, manifest_encoded: bytes, counts: tuple[int
 def write_container(path: str, manifest_raw: bytes, counts: tuple[int, int, int], feature_flags: int, frames: DataFrame, config: PackConfig, manifest_codec: str = "zstd") -> dict:
     """Writes a container under another name beside path, then renames it. Frames' places follow from their lengths, so
     tasks write them side by side, and again if they must. Returns total_raw_bytes, payload_bytes and archive_bytes."""
-    spark = frames.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    bound_batches(frames.sparkSession)
     encoded = layout.encode_manifest(manifest_raw, manifest_codec)
     begin = header_bytes(manifest_raw, encoded, counts, feature_flags, config, manifest_codec) + encoded
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch: rows that hold a bundle are some megabytes each.
+BATCH_BYTES = 32 << 20
 #: Rows of a partition whose numbers are given in one task.
 ROWS = 500_000
 _own: list[str] = []
@@ -27,6 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes that a Python worker is given at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which ends its lineage there."""
     spark = df.sparkSession
@@ -42,6 +49,8 @@ def in_order(df: DataFrame, order: Sequence[str | Column], number: str | None =
     spark = df.sparkSession
     sums = sums or {}
     at = F.monotonically_increasing_id()  # partition << 33 | place in the partition
+    if not partitions:
+        df = keep(df, "unordered")  # else what leads to df is computed for the count, for the ranges and for the rows
     n = partitions or max(1, -(-df.count() // ROWS))
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order) if n > 1 else df.coalesce(1).sortWithinPartitions(*order)
     steps = {f"__step_{k}": c for k, c in sums.items()}

@@ -87,3 +87,19 @@ def test_streams(spark, tmp_path):
     assert (got.frames, got.raw_bytes) == (row.bundle_count, 12000)
     drained(arrival_rate(arrivals(spark, str(tmp_path / "arrived"))).writeStream.outputMode("update").format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "c2")).start())
     assert sum(r.archives for r in spark.table("arrived").collect()) == 1
+
+
+def test_suite(spark, tmp_path):
+    from bundlefold.plans import suite
+
+    r = workload.Recipe(spark, recipe(tmp_path))
+    for dry in (True, False):
+        path = str(tmp_path / f"report-{dry}.json")
+        report.write_report(path, suite.run_suite(spark, r, str(tmp_path / f"out-{dry}"), dry))
+        assert suite.complete(spark, path).count() == 0
+    rows = {(x.baseline, x.phase): x for x in report.records(report.read_report(spark, path, "bundlefold")).collect()}
+    assert rows["tar", "pack"].exit_status == rows["bundlefold", "unpack"].exit_status == 0
+    stats = rows["bundlefold", "unpack"].bundlefold_stats
+    w = stats.wall_breakdown
+    assert stats.type == "unpack" and w.setup_ms.value + w.pipeline_ms.value + w.finalize_ms.value == stats.duration_ms
+    assert sorted(x.name for x in (tmp_path / "out-False" / "own").iterdir()) == ["node_modules", "package.json"]
