@@ -1,10 +1,13 @@
 """Token ids of whole texts by a public tokenizer, each distinct stretch of text encoded once.
 
 A text is cut before single spaces that stand between two characters that aren't white space. Neither pre-tokenizer
-lets a token or a merge cross such a place, so the ids of the pieces, joined, are the ids of the text. A text with any
-other space (runs of white space, a trailing space) goes to the library whole. Of a piece of letters and one mark after
-them, both parts are known apart. New pieces go to the library many at a time, a special token between them, at which
-it parts texts. Pieces are kept in a bounded cache; when that is full, it keeps what came first, the frequent pieces.
+lets a token or a merge cross such a place, so the ids of the pieces, joined, are the ids of the text. Texts with any
+other space go to the library whole, as do, to be safe, those that hold what might be other white space or, where the
+tokenizer drops case, what might be a special token.
+
+Pieces are found and looked up with numpy over a batch's bytes: a table from a piece's hash, length and first bytes to
+its ids. New pieces go to the library many at a time, a special token between them, at which it parts texts; of letters
+with one mark after them, both parts are known apart. The table is bounded and keeps what came first.
 """
 
 from __future__ import annotations
@@ -13,45 +16,106 @@ import os
 
 import numpy as np
 
-#: Pieces kept in a worker, and stems (pieces without case, where the tokenizer drops it, and without a last mark).
-CACHE, STEMS = 400_000, 600_000
-#: Characters above which a piece isn't kept.
-LONG = 64
+from .textscan import U, span_hashes
+
+#: Pieces kept in a worker.
+ENTRIES = 1 << 21
+#: Bytes above which a text is cut into rows of its own, at safe places.
+SPAN = 1 << 22
 #: Marks that stand alone after letters, in either tokenizer.
 MARKS = tuple(".,;:!?|\"")
-#: Characters above which a text is cut into spans, at safe places, before anything else.
-SPAN = 1 << 18
 
-_encoders: dict[tuple[str, str], "Encoder"] = {}
+_encoders: dict[str, "Encoder"] = {}
 
 
 def encoder(path: str) -> "Encoder":
     """The encoder of this process for a tokenizer file."""
-    key = (path, "")
-    if key not in _encoders:
-        _encoders[key] = Encoder(path)
-    return _encoders[key]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+class Table:
+    """Pieces by hash, open addressing: for each the place and number of its ids in a pool."""
+
+    def __init__(self, most: int):
+        self.most, self.mask = most, (1 << (2 * most - 1).bit_length()) - 1
+        self.key, self.entry = np.zeros(self.mask + 1, U), np.full(self.mask + 1, -1, np.int32)
+        self.check, self.at, self.n = np.zeros(1024, U), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.pool, self.count, self.used = np.zeros(4096, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entries of pieces, -1 for unknown ones."""
+        out = np.full(len(h), -1, np.int32)
+        slot, rows = (h & U(self.mask)).astype(np.int64), np.arange(len(h))
+        while len(rows):
+            e = self.entry[slot]
+            same = self.key[slot] == h[rows]
+            same &= e >= 0
+            hit = rows[same]
+            out[hit] = np.where(self.check[e[same]] == check[hit], e[same], -1)
+            go = ~same & (e >= 0)
+            rows, slot = rows[go], (slot[go] + 1) & self.mask
+        return out
+
+    def add(self, check: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Puts ids at the end of the pool; entries for them."""
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        sizes = np.array([len(x) // 4 for x in ids], np.int32)
+        first, need = self.count, self.count + len(ids)
+        for name, n in (("check", need), ("at", need), ("n", need), ("pool", self.used + len(flat))):
+            old = getattr(self, name)
+            if n > len(old):
+                new = np.zeros(max(n, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.check[first:need], self.n[first:need] = check, sizes
+        self.at[first:need] = self.used + np.cumsum(sizes) - sizes
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.count, self.used = need, self.used + len(flat)
+        return np.arange(first, need, dtype=np.int32)
+
+    def keep(self, h: np.ndarray, entries: np.ndarray) -> None:
+        """Makes new entries findable. Hashes have to differ, and be unknown."""
+        slot, rows = (h & U(self.mask)).astype(np.int64), np.arange(len(h))
+        while len(rows):
+            free = np.flatnonzero(self.entry[slot] < 0)
+            take = free[np.unique(slot[free], return_index=True)[1]]
+            self.key[slot[take]], self.entry[slot[take]] = h[rows[take]], entries[rows[take]]
+            left = np.ones(len(rows), bool)
+            left[take] = False
+            # who found its slot taken tries the next one
+            rows, slot = rows[left], (slot[left] + 1) & self.mask
+
+    def forget(self, count: int, used: int) -> None:
+        self.count, self.used = count, used
 
 
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        import json
-
-        pre = json.loads(self.tok.to_str()).get("pre_tokenizer") or {}
-        #: Whether white space is dropped between tokens; else a space leads its word.
-        self.drops = pre.get("type") != "ByteLevel"
+        made = json.loads(self.tok.to_str())
+        #: Whether white space is dropped between tokens, and case with it; else a space leads its word.
+        self.drops = (made.get("pre_tokenizer") or {}).get("type") != "ByteLevel"
+        if self.drops and "Lowercase" not in json.dumps(made.get("normalizer")):
+            raise ValueError("a tokenizer that drops white space but keeps case isn't known here")
         added = [(t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip and t.content.isascii()]
         #: A special token to part pieces by, and its id.
         self.apart = added[0] if added else None
-        self.cache: dict[str, bytes | None] = {}
-        self.stems: dict[str, bytes] = {}
+        self.table = Table(ENTRIES)
         self.marks = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
+        self.is_mark = np.zeros(256, bool)
+        self.is_mark[[ord(m) for m in MARKS]] = True
+        self.low = np.arange(256, dtype=np.uint8)
+        if self.drops:
+            self.low[65:91] += 32
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,107 +125,165 @@ class Encoder:
         if not self.apart:
             return self.whole(pieces)
         mark, number = self.apart
+        out: list[bytes | None] = [None] * len(pieces)
         odd = [k for k, p in enumerate(pieces) if mark in p]
-        if odd:
-            out: list = [None] * len(pieces)
-            for k, x in zip(odd, self.whole([pieces[k] for k in odd]), strict=True):
-                out[k] = x
-            rest = [k for k in range(len(pieces)) if out[k] is None]
-            for k, x in zip(rest, self.many([pieces[k] for k in rest]), strict=True):
-                out[k] = x
-            return out
-        out = []
-        joined = [mark.join(pieces[lo : lo + 512]) for lo in range(0, len(pieces), 512)]
-        for e in self.tok.encode_batch_fast(joined, add_special_tokens=False):
+        for k, x in zip(odd, self.whole([pieces[k] for k in odd]), strict=True):
+            out[k] = x
+        rest = [k for k, x in enumerate(out) if x is None]
+        groups = [rest[k : k + 128] for k in range(0, len(rest), 128)]
+        for group, e in zip(groups, self.tok.encode_batch_fast([mark.join([pieces[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == number)
+            cuts = np.flatnonzero(ids == number).tolist()
             raw = ids.tobytes()
-            out += [raw[4 * a + 4 : 4 * b] for a, b in zip([-1, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+            for k, a, b in zip(group, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                out[k] = raw[4 * a + 4 : 4 * b]
         return out
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.drops:
-            return text.replace("\n", " ").split(" ")
-        pieces = text.split(" ")
-        pieces[0] = "\0" + pieces[0]  # at the start of a text, no space leads it
-        return pieces
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes | None]:
-        out: dict[str, bytes | None] = {}
-        lead = "" if self.drops else " "
-        parts, ask, stems = [], {}, self.stems
-        for p in missing:
-            if p[-1:] in MARKS and p[:-1].isalpha():
-                stem, mark = p[:-1], p[-1]
-            elif p.isalpha():
-                stem, mark = p, ""
-            elif p[:1] == "\0" and not self.drops:  # at the start of a text, no space leads it
-                if p[-1].isspace() or "\0" in p[1:]:
-                    out[p] = None
-                else:
-                    parts.append((p, p, ""))
-                    ask[p] = p[1:]
-                continue
-            elif not self.drops and (not p or p[0].isspace() or p[-1].isspace()):
-                out[p] = None
-                continue
+    def learn(self, pieces: list[bytes], stems: list[bytes | None]) -> list[bytes]:
+        """The ids of new pieces; what they have in common is encoded once. stems: the ids of each piece without its last
+        byte, if that is a mark and they are known."""
+        ask: dict[str, int] = {}
+        parts = []
+        for raw, stem in zip(pieces, stems, strict=True):
+            p = raw.decode()
+            body = p[1:] if not self.drops and p[0] == " " else p
+            if body[-1:] in MARKS and body[:-1].isalpha():
+                parts.append((stem if stem is not None else ask.setdefault(p[:-1], len(ask)), body[-1]))
             else:
-                stem, mark = p, ""
-            if self.drops and stem.isascii():
-                stem = stem.lower()
-            parts.append((p, stem, mark))
-            if stem not in stems:
-                ask[stem] = lead + stem
-        learnt = dict(zip(ask, self.many(list(ask.values())), strict=True)) if ask else {}
-        if len(stems) < STEMS:
-            stems.update((k, v) for k, v in learnt.items() if len(k) <= LONG)
+                parts.append((ask.setdefault(p, len(ask)), None))
+        ids = self.many(list(ask))
         marks = self.marks
-        for p, stem, mark in parts:
-            ids = learnt[stem] if stem in learnt else stems[stem]
-            out[p] = ids + marks[mark] if mark else ids
+        return [(k if isinstance(k, bytes) else ids[k]) + marks[m] if m else ids[k] for k, m in parts]
+
+    def _check(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A second look at pieces: their lengths and their first and last bytes."""
+        check = (ends - starts).astype(U) << U(40) | low[ends - 1].astype(U) << U(32)
+        for k in range(4):
+            check |= low[np.minimum(starts + k, ends - 1)].astype(U) << U(8 * k)
+        return check
+
+    def _stems(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
+        """Of pieces that end with a mark, the ids of what is before it, where the table has that."""
+        out: list[bytes | None] = [None] * len(starts)
+        rows = np.flatnonzero(self.is_mark[low[ends - 1]] & (ends - starts > 1))
+        rows = rows[np.argsort(starts[rows], kind="stable")]
+        if len(rows):
+            s, e = starts[rows], ends[rows] - 1
+            entry = self.table.find(span_hashes(low, s, e), self._check(low, s, e))
+            for k, at in zip(rows[entry >= 0].tolist(), entry[entry >= 0].tolist(), strict=True):
+                a = int(self.table.at[at])
+                out[k] = self.table.pool[a : a + int(self.table.n[at])].tobytes()
         return out
 
-    def spans(self, text: str) -> list[str]:
-        """A long text cut before single spaces between other characters, into spans of about SPAN characters."""
-        out, lo, at = [], 0, SPAN
-        while len(text) - lo > SPAN:
-            at = text.find(" ", max(at, lo + SPAN))
-            if at < 0 or at + 1 >= len(text):
-                break
-            if text[at - 1].isspace() or text[at + 1].isspace():
-                at += 1
-                continue
-            out.append(text[lo:at])
-            lo = at
-        return [*out, text[lo:]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if any(len(t) > SPAN for t in texts):
-            return [b"".join(x for s in self.spans(t) for x in self._encode([s])) if len(t) > SPAN else self._encode([t])[0] for t in texts]
-        return self._encode(texts)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self._pieces(t) for t in texts]
-        cache = self.cache
-        missing = set().union(*pieces).difference(cache)
-        spare: list[str] = []
-        if missing:
-            learnt = self._learn(list(missing))
-            if len(cache) + len(learnt) > CACHE:
-                spare = list(learnt)
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of pieces, offsets of each text's pieces, and which texts can't be cut so."""
+        n = len(data)
+        odd = np.zeros(len(offsets) - 1, bool)
+        nonempty = np.diff(offsets) > 0
+        flag = lambda where: odd.__setitem__(np.searchsorted(offsets, where, "right") - 1, True)
+        begins = offsets[:-1][nonempty]
+        if self.drops:
+            space = (data == 32) | (data == 10)
+            flag(np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)))
+            edge = np.zeros(n + 1, bool)
+            edge[offsets] = True
+            inside = ~space
+            before = np.zeros(n, bool)
+            before[1:] = inside[:-1]
+            before[begins] = False
+            starts = np.flatnonzero(inside & ~before)
+            after = np.zeros(n, bool)
+            after[:-1] = inside[1:]
+            after[offsets[1:][offsets[1:] > 0] - 1] = False
+            ends = np.flatnonzero(inside & ~after) + 1
+        else:
+            space = data == 32
+            idle = data <= 32  # white space and, to be safe, all control characters
+            near = np.zeros(n, bool)
+            near[1:] |= idle[:-1]
+            near[begins] = False
+            near[:-1] |= idle[1:]
+            ends_at = offsets[1:][nonempty] - 1
+            near[ends_at] = True  # a space that ends a text
+            flag(np.flatnonzero(space & near))
+            flag(np.flatnonzero((data >= 0xE1) & (data <= 0xE3)))
+            flag(np.flatnonzero((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))))
+            cut = space.copy()
+            cut[begins] = True
+            starts = np.flatnonzero(cut)
+            ends = np.append(starts[1:], n)
+        return starts, ends, np.searchsorted(starts, offsets), odd
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a batch's bytes, and n + 1 offsets of each text's ids."""
+        if len(offsets) > 1 and np.diff(offsets).max() > SPAN:
+            return self._long(data, offsets)
+        starts, ends, first, odd = self._pieces(data, offsets)
+        if not len(starts):
+            return self._with_whole(data, offsets, odd, np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)) if odd.any() else (np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64))
+        t = self.table
+        count, used = t.count, t.used
+        low = self.low[data] if self.drops else data
+        h = span_hashes(low, starts, ends)
+        check = self._check(low, starts, ends)
+        entry = t.find(h, check)
+        usable = np.ones(len(h), bool)
+        for r in np.flatnonzero(odd):
+            usable[first[r] : first[r + 1]] = False
+        miss = np.flatnonzero((entry < 0) & usable)
+        if len(miss):
+            new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            where = miss[at]
+            raw, s, e = low.tobytes(), starts[where], ends[where]
+            got = t.add(check[where], self.learn([raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)], self._stems(low, s, e)))
+            entry[miss] = got[back]
+        entry[~usable] = -1
+        n = np.where(entry >= 0, t.n[entry], 0)
+        begin = np.cumsum(n) - n
+        ids = t.pool[np.repeat(t.at[entry] - begin, n) + np.arange(n.sum())]
+        total = np.concatenate([[0], np.cumsum(n)])
+        offs = total[first]
+        if len(miss):
+            if t.count <= t.most:
+                free = t.key[(new & U(t.mask)).astype(np.int64)] != new  # a hash that another piece has stays that piece's
+                t.keep(new[free], got[free])
             else:
-                spare = [k for k in learnt if len(k) > LONG]
-            cache.update(learnt)
-        out: list[bytes | None] = []
-        for p in pieces:
-            try:
-                out.append(b"".join(map(cache.__getitem__, p)))
-            except TypeError:  # a piece that can't be cut out
-                out.append(None)
-        for k in spare:
-            del cache[k]
-        if again := [i for i, x in enumerate(out) if x is None]:
-            for i, ids in zip(again, self.whole([texts[i] for i in again]), strict=True):
-                out[i] = ids
-        return out
+                t.forget(count, used)
+        if odd.any():
+            return self._with_whole(data, offsets, odd, ids, offs)
+        return ids, offs
+
+    def _with_whole(self, data, offsets, odd, ids, offs):
+        """Puts the ids of texts that went to the library whole in their places."""
+        rows = np.flatnonzero(odd)
+        found = self.whole([data[offsets[r] : offsets[r + 1]].tobytes().decode() for r in rows])
+        parts = {int(r): np.frombuffer(x, np.uint32) for r, x in zip(rows, found, strict=True)}
+        every = [parts[k] if k in parts else ids[offs[k] : offs[k + 1]] for k in range(len(odd))]
+        return np.concatenate(every), np.concatenate([[0], np.cumsum([len(x) for x in every])])
+
+    def _long(self, data, offsets):
+        """Cuts long texts before spaces between characters that surely aren't white space, and joins what comes of it."""
+        cuts, owner = [0], []
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            at = a
+            while b - at > SPAN:
+                part = data[at + SPAN // 2 : b]
+                plain = (part > 32) & (part < 128)
+                safe = np.flatnonzero((part[1:-1] == 32) & plain[:-2] & plain[2:]) if len(part) > 2 else part[:0]
+                if not len(safe):
+                    break
+                at += SPAN // 2 + int(safe[0]) + 1
+                cuts.append(at)
+                owner.append(k)
+            cuts.append(b)
+            owner.append(k)
+        found, sizes = [], np.zeros(len(offsets) - 1, np.int64)
+        for a, b, k in zip(cuts[:-1], cuts[1:], owner, strict=True):
+            starts_at = np.array([0, b - a])
+            if b - a > SPAN:  # nowhere to cut
+                ids = np.frombuffer(self.whole([data[a:b].tobytes().decode()])[0], np.uint32)
+            else:
+                ids = self.encode(data[a:b], starts_at)[0]
+            found.append(ids)
+            sizes[k] += len(ids)
+        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(sizes)])

@@ -87,10 +87,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_co
         from .encoder import encoder
 
         for batch in batches:
-            for rows, _, _ in common.text_slices(batch, "text"):
+            for rows, data, offs in common.text_slices(batch, "text"):
                 out = []
-                for d, x in zip(rows.column(0).to_pylist(), encoder(tokenizer).encode(rows.column(1).fill_null("").to_pylist()), strict=True):
-                    x += end
+                ids, firsts = encoder(tokenizer).encode(data, offs)
+                raw, firsts = ids.astype("<u4").tobytes(), (4 * firsts).tolist()
+                for d, a, b in zip(rows.column(0).to_pylist(), firsts[:-1], firsts[1:], strict=True):
+                    x = raw[a:b] + end
                     n = len(x) // 4
                     out += [(d, s, min(size, n - s), zlib.crc32(x[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
                 yield common.batch_of(_PIECES, *zip(*out, strict=True))

@@ -44,7 +44,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import read_token_files, shard_count, write_token_files
 
     docs = common.table(spark, sf_dir, "documents")
-    manifest = write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), 0, common.new_folder(spark, "token-files"), shard_count(spark, docs))
+    manifest = write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), 0, common.new_folder(spark, "token-files"), shard_count(docs))
     return read_token_files(manifest)
 
 
@@ -74,7 +74,7 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = common.table(spark, sf_dir, "pages")
     one, two = common.new_folder(spark, "warc"), common.new_folder(spark, "warc-replica")
-    index = write_warc(pages, one, shard_count(spark, pages, "html"))
+    index = write_warc(pages, one, shard_count(pages))
     copy_replica(index, one, two, "page_id % 97 = 13")
     payloads = read_warc(index, one).select("file", "ordinal", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("payload_sha256"), "intact")
     return audit(index, one, two).join(payloads, ["file", "ordinal"]).select("page_id", "n_bytes", "payload_sha256", "intact", "damaged")

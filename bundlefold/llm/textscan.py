@@ -55,11 +55,31 @@ def _tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
     return low, word
 
 
+#: Bytes hashed in one step.
+CHUNK = 1 << 20
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of stretches of bytes that don't overlap and are in order; low maps bytes before they are hashed."""
+    out, lo, n = np.empty(len(starts), U), 0, len(starts)
+    with np.errstate(over="ignore"):
+        while lo < n:
+            a = int(starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(starts, a + CHUNK)))
+            b = int(ends[hi - 1])
+            up, down = _powers(b - a + 1)
+            total = np.zeros(b - a + 1, U)
+            part = data[a:b] if low is None else low[data[a:b]]
+            np.cumsum(_BYTE[part] * up[:-1], dtype=U, out=total[1:])
+            s, e = starts[lo:hi] - a, ends[lo:hi] - a
+            out[lo:hi] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
+            lo = hi
+    return out
+
+
 class Words:
     """The words of a batch: starts and ends in the batch's bytes, and first, the n + 1 offsets of each text's words."""
 
-    CHUNK = 1 << 20
-
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str):
         low, word = _tables(kind)
         self.data, self.offsets = data, offsets
@@ -85,19 +105,7 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts())
 
     def hashes(self) -> np.ndarray:
-        out, lo, n = np.empty(len(self.starts), U), 0, len(self.starts)
-        with np.errstate(over="ignore"):
-            while lo < n:
-                a = int(self.starts[lo])
-                hi = max(lo + 1, int(np.searchsorted(self.starts, a + self.CHUNK)))
-                b = int(self.ends[hi - 1])
-                up, down = _powers(b - a + 1)
-                total = np.zeros(b - a + 1, U)
-                np.cumsum(_BYTE[self.low[self.data[a:b]]] * up[:-1], dtype=U, out=total[1:])
-                s, e = self.starts[lo:hi] - a, self.ends[lo:hi] - a
-                out[lo:hi] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
-                lo = hi
-        return out
+        return span_hashes(self.data, self.starts, self.ends, self.low)
 
     def tails(self, n: int) -> np.ndarray:
         """The last n bytes (fewer in shorter words) of each word, as one number; n is at most 7."""

@@ -36,9 +36,10 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
         for batch in batches:
             for rows, data, offs in common.text_slices(batch, "text"):
-                texts = rows.column(1).fill_null("").to_pylist()
-                n = _piece_lengths(tokenizer, texts) if tokenizer.endswith(".model") else [len(x) // 4 for x in encoder(tokenizer).encode(texts)]
-                n = np.array(n, np.int64)
+                if tokenizer.endswith(".model"):
+                    n = np.array(_piece_lengths(tokenizer, rows.column(1).fill_null("").to_pylist()), np.int64)
+                else:
+                    n = np.diff(encoder(tokenizer).encode(data, offs)[1])
                 yield common.batch_of(_OUT, rows.column(0).cast(pa.int64()), np.diff(offs), n, n > limit)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAGIC, BLOCK, FILE_IDS = b"BFTOKEN1", 1 << 18, 8 << 20
+MAGIC, BLOCK, FILE_IDS = b"BFTOKEN1", 1 << 18, 4 << 20
 _HEAD = struct.Struct("<8sIIIQ")
 #: Lengths of the four ids of a control byte.
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
@@ -40,7 +40,8 @@ def code_block(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
     padded[: len(code)] = code
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
+    width = int(code.max(initial=0)) + 1  # bytes that any of them takes
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width) <= code[:, None]].tobytes()
 
 
 def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -59,13 +60,14 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
 def file_parts(doc_ids: list[int | None], ids: list[bytes]):
     """The bytes of one file, part by part."""
     flat = np.frombuffer(b"".join(ids), "<u4")
-    used, back, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.lexsort((used, -counts))
-    place = np.empty(len(used), np.uint32)
-    place[order] = np.arange(len(used), dtype=np.uint32)
-    ranks = place[back]
+    counts = np.bincount(flat)  # as long as the largest id
+    used = np.flatnonzero(counts)
+    order = used[np.argsort(-counts[used], kind="stable")]  # ties by id
+    place = np.zeros(len(counts), "<u4")
+    place[order] = np.arange(len(order), dtype="<u4")
+    ranks = place[flat]
     blocks = [code_block(ranks[k : k + BLOCK]) for k in range(0, len(ranks), BLOCK)]
-    parts = [_HEAD.pack(MAGIC, len(used), len(ids), len(blocks), len(flat)), used[order].astype("<u4").tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(), np.array([len(x) // 4 for x in ids], "<u8").tobytes(), np.array([len(d) for _, d in blocks], "<u4").tobytes()]
+    parts = [_HEAD.pack(MAGIC, len(used), len(ids), len(blocks), len(flat)), order.astype("<u4").tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(), np.array([len(x) // 4 for x in ids], "<u8").tobytes(), np.array([len(d) for _, d in blocks], "<u4").tobytes()]
     crc = 0
     for p in [*parts, *(x for b in blocks for x in b)]:
         crc = zlib.crc32(p, crc)
@@ -131,11 +133,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
             return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": path, "n_docs": len(ids), "n_ids": total, "n_bytes": size}])
 
         for batch in batches:
-            for rows, _, _ in common.text_slices(batch, "text"):
-                for d, x in zip(rows.column(0).to_pylist(), encoder(tokenizer).encode(rows.column(1).fill_null("").to_pylist()), strict=True):
+            for rows, data, offs in common.text_slices(batch, "text"):
+                found, firsts = encoder(tokenizer).encode(data, offs)
+                raw, firsts = found.astype("<u4").tobytes(), (4 * firsts).tolist()
+                for d, a, b in zip(rows.column(0).to_pylist(), firsts[:-1], firsts[1:], strict=True):
                     doc_ids.append(d)
-                    ids.append(x + end)
-                    total += len(x) // 4 + 1
+                    ids.append(raw[a:b] + end)
+                    total += (b - a) // 4 + 1
                     if total >= FILE_IDS:
                         yield close()
                         part, doc_ids, ids, total = part + 1, [], [], 0
@@ -177,7 +181,6 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     return placed.select("path", "before").repartition(n, "path").mapInArrow(work, out)
 
 
-def shard_count(spark: SparkSession, docs: DataFrame, text_col: str = "text", most: int = 24 << 20) -> int:
-    """Shards of about `most` bytes of text."""
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(1, -(-total // most))
+def shard_count(rows: DataFrame, most: int = 12 << 20) -> int:
+    """Shards of about `most` stored bytes, by Spark's own estimate of a table's size (its files are not read)."""
+    return max(1, -(-int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // most))
