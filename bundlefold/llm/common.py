@@ -104,6 +104,20 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def rows_kept(docs: DataFrame, text_col: str, judge) -> DataFrame:
+    """The rows of docs for which judge(rows, bytes, offsets), called with slices of whole texts, says true."""
+    at = docs.columns.index(text_col)
+
+    def work(batches):
+        for batch in batches:
+            data, offs = column_bytes(batch.column(at))
+            for lo, hi in byte_slices(offs):
+                part = batch.slice(lo, hi - lo)
+                yield part.filter(pa.array(judge(part, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]), pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def ragged(values: np.ndarray, firsts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and n + 1 offsets."""
     return pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32), pa.int32()), pa.array(values, kind))

@@ -105,25 +105,54 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sh
     and contaminated (n_hit > 0 and share * n_hit >= n_words). Every row of docs gives one row."""
     spark = docs.sparkSession
     common.prepare(spark)
-    texts = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    items = sorted((r["i"], words(r["t"])) for r in texts.toLocalIterator())
-    groups = item_groups(items, width) or [[]]
+    groups = _groups(benchmark, width, item_col, item_text)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for k, group in enumerate(groups):
         rows = rows.mapInArrow(*_pass(spark.sparkContext.broadcast(group), width, share, not k, k == len(groups) - 1))
     return rows
 
 
+def _groups(benchmark: DataFrame, width: int, item_col: str, item_text: str) -> list[list[tuple[str, list[bytes]]]]:
+    texts = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    items = sorted((r["i"], words(r["t"])) for r in texts.toLocalIterator())
+    return item_groups(items, width) or [[]]
+
+
+def _machine(key: str, group, width: int):
+    if key not in _built:
+        _built.clear()
+        _built[key] = automaton(group.value, width)
+    return _built[key]
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that benchmark_hits wouldn't call contaminated, all columns as they are; no row is shuffled. Where
+    one automaton doesn't hold the benchmark, each slice of texts is scanned by one after the other."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    groups = [(uuid.uuid4().hex, spark.sparkContext.broadcast(g)) for g in _groups(benchmark, width, item_col, item_text)]
+
+    def judge(part, data, offs):
+        found = [{} for _ in range(part.num_rows)]
+        sizes = [0] * part.num_rows
+        for key, group in groups:
+            machine = _machine(key, group, width)
+            for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+                sizes[k], spans, _ = scan(machine, data[a:b].tobytes())
+                for lo, hi in spans:
+                    found[k].update(dict.fromkeys(range(lo, hi)))
+        return [not (f and share * len(f) >= n) for f, n in zip(found, sizes, strict=True)]
+
+    return common.rows_kept(docs, text_col, judge)
+
+
 def _pass(group, width: int, share: int, begins: bool, ends: bool):
     key = uuid.uuid4().hex
     between = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
     last = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS), ("contaminated", pa.bool_())])
 
     def work(batches):
-        if key not in _built:
-            _built.clear()
-            _built[key] = automaton(group.value, width)
-        machine, names = _built[key], [x for x, _ in group.value]
+        machine, names = _machine(key, group, width), [x for x, _ in group.value]
         for batch in batches:
             for part, data, offs in common.text_slices(batch, "text"):
                 out = []

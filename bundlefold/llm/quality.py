@@ -21,7 +21,7 @@ from . import common
 from .textscan import U, Words, mix
 
 BITS, DIM, FOLDS, THRESHOLD = 18, 12, 5, 0.3
-MOST_ROWS, MOST_BYTES = 8000, 48 << 20
+MOST_ROWS, MOST_BYTES = 4000, 24 << 20
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 _REPEAT = 1
 
@@ -102,7 +102,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float =
     for t in texts:
         values, _ = features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
         f, c = np.unique(np.concatenate(values), return_counts=True)
-        rows.append((f.astype(np.int64), (c / max(1, c.sum())).astype(np.float32)))
+        rows.append((f.astype(np.int32), (c / max(1, c.sum())).astype(np.float32)))
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out = np.zeros((2, DIM), np.float32)
     bias = np.array([0.0, prior], np.float32)
@@ -146,12 +146,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS
     return [bytes(r["t"]) for r in got], [r["y"] for r in got]
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, training: dict):
+    """The model of some labels, for the tasks: 2**BITS numbers, whatever the corpus."""
+    common.prepare(docs.sparkSession)
+    model = train(*training_rows(docs, labels, id_col=id_col, text_col=text_col, **training))
+    return docs.sparkSession.sparkContext.broadcast((model.table, model.prior))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs, by a model trained on labels."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    model = train(*training_rows(docs, labels, id_col=id_col, text_col=text_col, **training))
-    shared = spark.sparkContext.broadcast((model.table, model.prior))  # 2**BITS numbers, whatever the corpus
+    shared = _fitted(docs, labels, id_col, text_col, training)
 
     def work(batches):
         m = Model(*shared.value)
@@ -162,3 +166,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(common.fold(id_col, FOLDS) == 0, F.lit(False)).alias("held_out"))
     return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, all columns as they are; no row is shuffled."""
+    shared = _fitted(docs, labels, id_col, text_col, training)
+
+    def judge(part, data, offs):
+        return Model(*shared.value).scores(data, offs) >= threshold
+
+    return common.rows_kept(docs, text_col, judge)

@@ -7,10 +7,10 @@ stays), decontamination (contaminated documents go), secrets (found ones are rep
 from __future__ import annotations
 
 from bundlefold.llm import common
-from bundlefold.llm.decontam import benchmark_hits
+from bundlefold.llm.decontam import uncontaminated
 from bundlefold.llm.ngramjoin import near_duplicates
 from bundlefold.llm.packing import pack
-from bundlefold.llm.quality import quality_scores
+from bundlefold.llm.quality import accepted
 from bundlefold.llm.queries import tokenizer_path
 from bundlefold.llm.secretscan import redacted
 from pyspark.sql import DataFrame, SparkSession
@@ -27,24 +27,21 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """An id that has several texts goes if one of them is rejected."""
-    scores = quality_scores(docs, common.table(spark, sf_dir, "labels"))
-    return _without(docs, scores.where("predicted = 0"))
+    return accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat an id that stays are dropped to one, the least in text and the other columns."""
+    """Of rows that repeat an id that stays, one stays: the least in text and the other columns. Rows without an id stay."""
     kept = _without(docs, near_duplicates(docs).where("class_id <> doc_id"))
-    unique = kept.where("doc_id is not null")
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again"))
     columns = docs.columns
-    one = unique.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in columns if c not in ("doc_id", "text")])).alias("__one"))
+    one = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in columns if c not in ("doc_id", "text")])).alias("__one"))
     one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__one.`{c}`").alias(c) for c in columns])
-    return one.unionByName(kept.where("doc_id is null"))
+    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = benchmark_hits(docs, common.table(spark, sf_dir, "benchmark"))
-    return _without(docs, hits.where("contaminated"))
+    return uncontaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

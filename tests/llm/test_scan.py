@@ -74,6 +74,10 @@ def test_benchmark_hits(spark, monkeypatch, most):
     ).collect()
     want = list(brute(docs, [i for i in items if None not in i]))
     assert sorted(map(str, ((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items, r.contaminated) for r in got))) == sorted(map(str, want))
+    frame = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, n_hit string").repartition(3)
+    left = decontam.uncontaminated(frame, spark.createDataFrame([i for i in items if None not in i], "item_id long, text string"))
+    assert left.columns == frame.columns
+    assert sorted(str((r.doc_id, r.text)) for r in left.collect()) == sorted(str(d) for d, w in zip(docs, want, strict=True) if not w[-1])
     by_id = dict(docs)
     for r in got:  # spans lead to the original's bytes
         if r.doc_id not in (None, 7) and r.n_hit:
