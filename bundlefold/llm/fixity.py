@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-FAN, FILE_BYTES = 16, 32 << 20
+FAN, FILE_BYTES, WINDOW = 16, 32 << 20, 1 << 13
 _INDEX = pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("ordinal", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64())])
 _NODES = pa.schema([("file", pa.string()), ("level", pa.int32()), ("node", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.binary())])
 _RECORDS = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("intact", pa.bool_())])
@@ -78,9 +78,17 @@ def write_warc(pages: DataFrame, folder: str, shards: int, file_bytes: int = FIL
     return common.cut(ordered.mapInArrow(work, "file string, n_records long, ordinal long, offset long, length long, page_id long"), "warc-index")
 
 
+#: Tasks that files are dealt to: the rows that name them are few and small, so Spark would put them into one.
+TASKS = 4096
+
+
+def _dealt(files: DataFrame, index: DataFrame) -> DataFrame:
+    return files.repartition(max(1, min(TASKS, 3 * index.select("file").distinct().count())), "file")
+
+
 def _files(index: DataFrame) -> DataFrame:
     """One row a file, with its records' lengths in order; records of one file are bounded by its size."""
-    return index.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ordinal", "length", "page_id"))).alias("records"))
+    return _dealt(index.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ordinal", "length"))).alias("records")), index)
 
 
 def read_warc(index: DataFrame, folder: str) -> DataFrame:
@@ -95,9 +103,10 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
             for name in batch.column(0).to_pylist():
                 raw, at, ordinal, out, held = files.read(f"{folder}/{name}"), 0, 0, [], 0
                 while at < len(raw):
-                    unpack = zlib.decompressobj(31)
-                    text = unpack.decompress(memoryview(raw)[at:])
-                    at = len(raw) - len(unpack.unused_data)
+                    unpack, text = zlib.decompressobj(31), b""
+                    while not unpack.eof and at < len(raw):  # a window at a time: what is left over of it is copied
+                        text += unpack.decompress(memoryview(raw)[at : at + WINDOW])
+                        at += min(WINDOW, len(raw) - at) - len(unpack.unused_data)
                     head, _, body = text.partition(b"\r\n\r\n")
                     fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
                     payload = body[: int(fields[b"Content-Length"])]
@@ -112,7 +121,7 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
                 if out:
                     yield common.batch_of(_RECORDS, *zip(*out, strict=True))
 
-    return index.select("file").distinct().mapInArrow(work, "file string, ordinal long, page_id long, url string, payload binary, intact boolean")
+    return _dealt(index.select("file").distinct(), index).mapInArrow(work, "file string, ordinal long, page_id long, url string, payload binary, intact boolean")
 
 
 def copy_replica(index: DataFrame, source: str, target: str, damaged: str = "false") -> DataFrame:
@@ -133,7 +142,7 @@ def copy_replica(index: DataFrame, source: str, target: str, damaged: str = "fal
                 files.rename(path, f"{target}/{name}")
                 yield pa.RecordBatch.from_pydict({"file": [name], "n_bytes": [len(raw)]})
 
-    return common.cut(per_file.mapInArrow(work, "file string, n_bytes long"), "replica")
+    return common.cut(_dealt(per_file, index).mapInArrow(work, "file string, n_bytes long"), "replica")
 
 
 def tree(raw: bytes, lengths: list[int]) -> list[list[tuple[int, int, bytes]]]:
