@@ -222,7 +222,7 @@ def pack_totals(spark, d):
     return b.join(own, F.lit(True)).select("raw_bytes", "bundle_count", total.alias("none_coded_bytes"), (F.col("own") == F.col("raw_bytes")).alias("every_byte_once"))  # one row each
 
 
-@query(f"WITH t AS (SELECT source, sum(strlen(coalesce(text, ''))) AS raw FROM documents GROUP BY source) SELECT source, {_B('raw', 'raw_bytes')}, {_B(f'CASE WHEN raw > 0 THEN ceil(raw / {TARGET}) ELSE 0 END', 'bundles')}, {_B('trunc(raw * 0.72)', 'lz4_bytes')}, {_B('trunc(raw * 0.58)', 'zstd_bytes')} FROM t")
+@query(f"WITH t AS (SELECT source, sum(strlen(coalesce(text, ''))) AS raw FROM documents GROUP BY source) SELECT source, {_B('raw', 'raw_bytes')}, {_B(f'CASE WHEN raw > 0 THEN ceil(raw / {TARGET}) ELSE 0 END', 'bundles')}, {_B('trunc(raw * 0.72::DOUBLE)', 'lz4_bytes')}, {_B('trunc(raw * 0.58::DOUBLE)', 'zstd_bytes')} FROM t")
 def pack_estimates(spark, d):
     t = table(spark, d, "documents").groupBy("source").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("raw_bytes"))
     return t.select("source", "raw_bytes", C.estimated_bundles("raw_bytes", TARGET).alias("bundles"), C.estimated_encoded("raw_bytes", "lz4").alias("lz4_bytes"), C.estimated_encoded("raw_bytes", "zstd").alias("zstd_bytes"))

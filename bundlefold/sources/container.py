@@ -122,8 +122,6 @@ class ContainerReader(DataSourceReader):
         if not path:
             raise UsageError("a container source needs a path")
         self.table, self.permissive = options.get("table", "entries"), options.get("mode") == "permissive"
-        if self.table not in TABLES:
-            raise UsageError(f"table {self.table!r} is none of {tuple(TABLES)}")
         path = path.removeprefix("file:")
         self.paths = sorted(os.path.join(path, n) for n in os.listdir(path) if not n.startswith((".", "_"))) if os.path.isdir(path) else [path]
         self.tests: list = []
@@ -162,13 +160,18 @@ class ContainerReader(DataSourceReader):
             yield whole.slice(k, 4096)
 
 
+#: How conditions on bundle_id are asked of a frame's header.
+_TESTS = {
+    EqualTo: lambda v: lambda x: x == v, GreaterThan: lambda v: lambda x: x > v, GreaterThanOrEqual: lambda v: lambda x: x >= v, LessThan: lambda v: lambda x: x < v,
+    LessThanOrEqual: lambda v: lambda x: x <= v, In: lambda v: frozenset(v).__contains__,
+}
+
+
 class PushingReader(ContainerReader):
     def pushFilters(self, filters):
         for f in filters:
-            test = None
-            if self.table == "frames" and getattr(f, "attribute", None) == ("bundle_id",):
-                v = f.value if not isinstance(f, In) else frozenset(f.value)
-                test = {EqualTo: lambda x, v=v: x == v, GreaterThan: lambda x, v=v: x > v, GreaterThanOrEqual: lambda x, v=v: x >= v, LessThan: lambda x, v=v: x < v, LessThanOrEqual: lambda x, v=v: x <= v, In: lambda x, v=v: x in v}.get(type(f))
+            make = _TESTS.get(type(f))
+            test = make(f.value) if make and self.table == "frames" and f.attribute == ("bundle_id",) else None
             if test:
                 self.tests.append(test)
             else:
@@ -217,7 +220,10 @@ class ContainerSource(DataSource):
         return "container"
 
     def schema(self) -> str:
-        return "archive string, " + TABLES[self.options.get("table", "entries")]
+        table = self.options.get("table", "entries")
+        if table not in TABLES:
+            raise UsageError(f"table {table!r} is none of {tuple(TABLES)}")
+        return "archive string, " + TABLES[table]
 
     def reader(self, schema) -> ContainerReader:
         return (PushingReader if self.options.get("pushdown") == "true" else ContainerReader)(self.options)
