@@ -29,7 +29,7 @@ from . import common
 SHARD, DEGREE, ROUNDS, TREES, LEAF = 1 << 16, 24, 4, 4, 256
 BEAM, OPEN, ENTRIES = 900, 8, 32
 #: Nodes in a block of a round, and queries in a block of a search.
-BLOCK, QUERIES = 1 << 14, 1 << 11
+BLOCK, QUERIES = 1 << 13, 1 << 11
 _GRAPH = pa.schema([("shard", pa.int32()), ("node", pa.int32()), ("near", pa.list_(pa.int32())), ("score", pa.list_(pa.float32()))])
 _FOUND = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
 
