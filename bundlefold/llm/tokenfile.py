@@ -9,7 +9,7 @@ table of 256 control bytes.
     u32[ranks] rank table, i64[documents] doc ids, u8[documents] 1 where the id is null, u64[documents] ids of each
     u32[blocks] data bytes of each, then for each block its control and data bytes; u32 crc32 of all before
 
-Documents lie in ascending doc_id order (nulls first, ties by text); file names are unique to a task attempt and a
+Documents lie in ascending doc_id order (nulls first, ties by the text's hash); file names are unique to a task attempt and a
 manifest lists those that count, so a task that is run again does no harm. A null text is empty: only the end id.
 """
 
@@ -147,7 +147,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranges are chosen from samples that go to the driver: ids and hashes, not texts
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return common.cut(ordered.mapInArrow(work, _MANIFEST), "manifest")
 
 

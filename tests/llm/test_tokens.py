@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from bundlefold.llm import encoder, packing, tokencount, tokenfile
 from bundlefold.llm.queries import tokenizer_path
+from pyspark.sql import functions as F
 
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\nb", "a\n\nb c", "\ta b", "it's we'll  don't", "x<|endoftext|>y z", "<|endoftext|> a b", "a <|startoftext|>  b", "é è ñ ß ÉÀ", "é a ́b", "\x00a b", "\x00", "1234 5.6e7 #!!", "a\xa0b c", "a b  c", "日本 語 😀 x", "word " * 3000, "a\x1cb \x85 c", " \n", "\n a", "İ I ſ Σ ΣΑΣ s"]
 
@@ -86,7 +87,7 @@ def test_token_files(spark, tmp_path, monkeypatch):
 
     tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     start, want = 0, []
-    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode())):
+    for r in docs.orderBy("doc_id", F.xxhash64("text"), "text").collect():
         ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 0]
         want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
         start += len(ids)
