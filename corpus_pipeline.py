@@ -20,10 +20,15 @@ from pyspark.sql import functions as F
 ORACLE_SQL = None
 
 
+#: Ids that are sent to every task (16 bytes each); more meet the documents in a shuffled join.
+SENT = 1_000_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows of some ids, compared as whole numbers; rows with a null id stay."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    gone = common.cut(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    few = gone.count() <= SENT
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +39,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of rows that repeat an id that stays, one stays: the least in text and the other columns. Rows without an id stay."""
     kept = _without(docs, near_duplicates(docs).where("class_id <> doc_id"))
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():  # as a rule; asked of ids alone
+        return kept
     columns = docs.columns
     one = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in columns if c not in ("doc_id", "text")])).alias("__one"))
     one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__one.`{c}`").alias(c) for c in columns])
