@@ -64,6 +64,24 @@ class Folders:
         self.held[parts] = fd
         return fd
 
+    def make(self, parts: tuple[bytes, ...]) -> int:
+        """As at(), but what isn't there is created; anything but a folder in the way is an error."""
+        if not parts:
+            return self.root
+        if parts in self.held:
+            return self.held[parts]
+        above = self.make(parts[:-1])
+        with contextlib.suppress(FileExistsError):
+            os.mkdir(parts[-1], 0o700, dir_fd=above)
+        try:
+            fd = os.open(parts[-1], _DIR, dir_fd=above)
+        except OSError as e:
+            raise (UnsafePath if e.errno in (20, 40) else FileSystemError)(f"{os.fsdecode(b'/'.join(parts))} is in the way: {e.strerror}") from e
+        if len(self.held) >= self.most:
+            self.close()
+        self.held[parts] = fd
+        return fd
+
     def close(self) -> None:
         for fd in self.held.values():
             os.close(fd)
@@ -108,20 +126,14 @@ def _each(df: DataFrame, root: str, act) -> dict:
 
 
 def make_folders(folders: DataFrame, root: str) -> int:
-    """Creates the folders of each depth, parents first. Existing folders are kept; anything else in the way is an error."""
+    """Creates folders, and those above them, in one job: a folder that another task has made is as good as one's own.
+    Existing folders are kept; anything else in the way is an error."""
     os.makedirs(root, exist_ok=True)
-    depths = [r["depth"] for r in folders.where("depth > 0").select("depth").distinct().orderBy("depth").collect()]
 
     def make(at: Folders, row):
-        above, name = _split(row["components"])
-        fd = at.at(above)
-        try:
-            os.mkdir(name, 0o700, dir_fd=fd)
-        except FileExistsError:
-            if not stat.S_ISDIR(os.stat(name, dir_fd=fd, follow_symlinks=False).st_mode):
-                raise UnsafePath(f"{os.fsdecode(b'/'.join((*above, name)))} is in the way and no folder") from None
+        at.make(tuple(bytes(p) for p in row["components"]))
 
-    return sum(_each(folders.where(F.col("depth") == d).select("components"), root, make)["files"] for d in depths)
+    return _each(folders.where("depth > 0").select("components"), root, make)["files"]
 
 
 def check_free(paths: DataFrame, root: str) -> None:
@@ -233,8 +245,12 @@ def make_hardlinks(links: DataFrame, root: str) -> dict:
 
 
 def finish_folders(folders: DataFrame, root: str, owner: bool) -> int:
-    """Modes and times of all folders but the root, deepest first."""
-    depths = [r["depth"] for r in folders.where("depth > 0").select("depth").distinct().orderBy(F.desc("depth")).collect()]
+    """Modes and times of all folders but the root. Where one of them will be closed to its owner, deepest first."""
+    inner = folders.where("depth > 0")
+    if inner.where(F.col("mode").bitwiseAND(0o700) != 0o700).isEmpty():
+        levels = [inner]
+    else:
+        levels = [inner.where(F.col("depth") == r["depth"]) for r in inner.select("depth").distinct().orderBy(F.desc("depth")).collect()]
 
     def finish(at: Folders, row):
         where, name = _split(row["components"])
@@ -245,7 +261,7 @@ def finish_folders(folders: DataFrame, root: str, owner: bool) -> int:
             os.close(fd)
 
     columns = ("components", "mode", "uid", "gid", "mtime_sec", "mtime_nsec")
-    return sum(_each(folders.where(F.col("depth") == d).select(*columns), root, finish)["files"] for d in depths)
+    return sum(_each(level.select(*columns), root, finish)["files"] for level in levels)
 
 
 def set_marker(root: str) -> None:

@@ -132,6 +132,22 @@ def test_links_in_the_way(spark, archive, tmp_path):
     assert not list(outside.iterdir())
 
 
+def test_closed_folders(spark, tmp_path):
+    src = tmp_path / "src"
+    (src / "shut/inner").mkdir(parents=True)
+    (src / "shut/inner/f").write_bytes(b"x")
+    pack(spark, str(src), str(tmp_path / "a"))
+    os.chmod(src / "shut", 0o500)
+    try:
+        pack(spark, str(src), str(tmp_path / "a"))
+        unpack(spark, str(tmp_path / "a"), str(tmp_path / "out"))
+        assert stat.S_IMODE(os.stat(tmp_path / "out/shut").st_mode) == 0o500 and (tmp_path / "out/shut/inner/f").read_bytes() == b"x"
+    finally:
+        for d in (src / "shut", tmp_path / "out/shut"):
+            if d.exists():
+                os.chmod(d, 0o700)
+
+
 def test_unsafe_names(spark):
     rows = lambda name: spark.createDataFrame([(0, "root", b"", None), (1, "regular", name, None)], "entry_id long, kind string, name binary, link_target binary")
     restore.check_names(rows(b"\xff/".strip(b"/")))
