@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..errors import FileSystemError, UnsafePath
 from ..tables import bound_batches
 
+#: Files in a run that one task writes, and the most tasks they are dealt to.
+FILES, MOST_TASKS = 1000, 8192
 MARKER = ".bundlefold-untrusted"
 _DIR = os.O_RDONLY | os.O_DIRECTORY | os.O_NOFOLLOW
 _COUNTS = pa.schema([("files", pa.int64()), ("extents", pa.int64()), ("bytes", pa.int64()), ("ns", pa.int64())])
@@ -168,7 +170,10 @@ def write_files(pieces: DataFrame, files: DataFrame, root: str, owner: bool) ->
     without pieces is empty. All pieces of a file go to one task, in order, and are written one after the other."""
     bound_batches(files.sparkSession)
     columns = ("entry_id", "components", "size", "mode", "uid", "gid", "mtime_sec", "mtime_nsec")
-    rows = files.select(*columns).join(pieces, "entry_id", "left").repartition("entry_id").sortWithinPartitions("entry_id", "file_offset")
+    # files of neighbouring ids share folders; a run of them is a task's, however few bytes they have
+    tasks = max(1, min(MOST_TASKS, -(-files.count() // FILES)))
+    run = F.expr(f"entry_id div {FILES}")
+    rows = files.select(*columns).join(pieces, "entry_id", "left").repartition(tasks, run).sortWithinPartitions("entry_id", "file_offset")
 
     def work(batches):
         total = [0, 0, 0]
