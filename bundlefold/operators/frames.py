@@ -93,6 +93,24 @@ def file_pieces(bundles: DataFrame, extents: DataFrame) -> DataFrame:
     return bundles.join(extents, "bundle_id").select("entry_id", "file_offset", cut.alias("piece"))
 
 
+def pieces_of(frames: DataFrame, extents: DataFrame, codec: str) -> DataFrame:
+    """entry_id, file_offset and piece of every extent: each frame is decoded and checked once, and cut up where it is."""
+    bound_batches(frames.sparkSession)
+    schema = pa.schema([("entry_id", pa.int64()), ("file_offset", pa.int64()), ("piece", pa.binary())])
+
+    def work(batches):
+        for batch in batches:
+            for bundle_id, raw_len, want, payload, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = codecs.decode(codec, payload, raw_len)
+                if codecs.frame_hash(raw) != want:
+                    raise IntegrityError(f"the hash of frame {bundle_id} is wrong")
+                cut = [raw[x["raw_offset_in_bundle"] : x["raw_offset_in_bundle"] + x["raw_len"]] for x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([x["entry_id"] for x in parts], pa.int64()), pa.array([x["file_offset"] for x in parts], pa.int64()), pa.array(cut, pa.binary())], schema=schema)
+
+    rows = with_extents(frames.select("bundle_id", "raw_len", "frame_hash", "payload"), extents)
+    return rows.select("bundle_id", "raw_len", "frame_hash", "payload", "extents").mapInArrow(work, "entry_id long, file_offset long, piece binary")
+
+
 def with_extents(frames: DataFrame, extents: DataFrame) -> DataFrame:
     """Frames with the ordered list of their extents; a frame of no known bundle has an empty list."""
     fields = ("raw_offset_in_bundle", "entry_id", "file_offset", "raw_len", "flags_bits")

@@ -12,7 +12,7 @@ from ..config import UnpackConfig
 from ..errors import EngineError, FileSystemError, IntegrityError
 from ..functions.columns import estimated_bundles
 from ..operators import restore
-from ..operators.frames import archive_digest, decoded, file_pieces
+from ..operators.frames import archive_digest, pieces_of
 from ..operators.paths import entry_paths
 from ..operators.planner import extent_sequence
 from ..sources.container import read_container, spooled
@@ -94,7 +94,7 @@ def _unpack(spark: SparkSession, archive: str, output: str, config: UnpackConfig
         restore.check_free(paths.where("depth > 0 and kind <> 'directory'"), output)
     restore.make_folders(folders, output)
     setup = clock.total()
-    pieces = file_pieces(decoded(frames, header["data_codec"]), extents)
+    pieces = pieces_of(frames, extents, header["data_codec"])
     clock.lap("decode")
     files = restore.write_files(pieces, paths.where("kind = 'regular'"), output, owner)
     clock.lap("scatter")
