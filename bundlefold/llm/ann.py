@@ -10,8 +10,9 @@ the reversed edges; the best `degree` of all stay. A round's joins carry ids onl
 get their shard's vectors.
 
 A query goes through the graph of each shard: of the best `beam` nodes seen, those not yet opened are opened, best
-first, until all are; it begins at fixed entry nodes and, where it is a node of the shard, at itself. Shards' answers
-are merged. Graph work uses 32-bit floats, the scores returned are 64-bit inner products of the original vectors.
+first, until all are. Edges are followed both ways. It begins at nodes chosen for the query, in its own shard and any
+other: the best of every SPREAD-th node, those of its leaves in the random trees and, where it is a node, itself.
+Shards' answers are merged. Graph work uses 32-bit floats, the scores returned are 64-bit inner products of the original vectors.
 
 Vectors that are null, all zero, or hold nulls or non-finite numbers take no part, as those of another length than the
 most frequent one; rows with null ids neither. Rows that repeat an id and vector count once. Ties go to the smaller id.
@@ -28,6 +29,8 @@ from . import common
 
 SHARD, DEGREE, ROUNDS, TREES, LEAF = 1 << 16, 24, 4, 4, 256
 BEAM, OPEN, ENTRIES = 900, 8, 32
+#: One node in SPREAD is compared with each query to find where it begins.
+SPREAD = 16
 #: Nodes in a block of a round, and queries in a block of a search.
 BLOCK, QUERIES = 1 << 13, 1 << 11
 _GRAPH = pa.schema([("shard", pa.int32()), ("node", pa.int32()), ("near", pa.list_(pa.int32())), ("score", pa.list_(pa.float32()))])
@@ -57,20 +60,48 @@ def best(near: np.ndarray, score: np.ndarray, degree: int) -> tuple[np.ndarray,
     return np.where(np.isneginf(score), -1, np.take_along_axis(near, order, 1)), score
 
 
+def grow_tree(x: np.ndarray, leaf: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A random tree over x: planes, cuts, kids (-1 - k: the leaf k) and leaves. Each split is by the difference of two
+    vectors, halved at the median, so every leaf has at most `leaf` nodes whatever the vectors are."""
+    planes, cuts, kids, leaves = [], [], [], []
+    todo = [(np.arange(len(x)), -1, 0)]
+    while todo:
+        rows, above, side = todo.pop()
+        if len(rows) > leaf:
+            me = len(planes)
+            a, b = rng.choice(len(rows), 2, replace=False)
+            at = x[rows] @ (x[rows[a]] - x[rows[b]])
+            order, half = np.argsort(at, kind="stable"), len(rows) // 2
+            planes.append(x[rows[a]] - x[rows[b]])
+            cuts.append(at[order[half]])
+            kids.append([0, 0])
+            rows = rows[order]
+            todo += [(rows[:half], me, 0), (rows[half:], me, 1)]
+        else:
+            me = -1 - len(leaves)
+            leaves.append(rows)
+        if above >= 0:
+            kids[above][side] = me
+    return np.array(planes, np.float32).reshape(-1, x.shape[1]), np.array(cuts, np.float32), np.array(kids, np.int64).reshape(-1, 2), leaves
+
+
+def leaf_of(queries: np.ndarray, tree) -> np.ndarray:
+    """The number of the leaf that each query falls in."""
+    planes, cuts, kids, _ = tree
+    at = np.full(len(queries), 0 if len(planes) else -1, np.int64)
+    while len(go := np.flatnonzero(at >= 0)):
+        here = at[go]
+        right = (queries[go] * planes[here]).sum(axis=1) >= cuts[here]
+        at[go] = kids[here, right.astype(np.int64)]
+    return -1 - at
+
+
 def first_graph(x: np.ndarray, degree: int, trees: int, leaf: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best neighbours inside the leaves of random trees: each split is by the difference of two vectors, halved at
-    the median, so every leaf has at most `leaf` nodes whatever the vectors are."""
+    """The best neighbours inside the leaves of random trees."""
     rng, n = np.random.default_rng(seed), len(x)
     near, score = np.full((n, degree), -1, np.int32), np.full((n, degree), -np.inf, np.float32)
     for _ in range(trees):
-        todo = [np.arange(n)]
-        while todo:
-            rows = todo.pop()
-            if len(rows) > leaf:
-                a, b = rng.choice(len(rows), 2, replace=False)
-                rows = rows[np.argsort(x[rows] @ (x[rows[a]] - x[rows[b]]), kind="stable")]
-                todo += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
-                continue
+        for rows in grow_tree(x, leaf, rng)[3]:
             s = x[rows] @ x[rows].T
             np.fill_diagonal(s, -np.inf)
             mine = np.broadcast_to(rows.astype(np.int32), s.shape)
@@ -78,12 +109,32 @@ def first_graph(x: np.ndarray, degree: int, trees: int, leaf: int, seed: int) ->
     return near, score
 
 
-def search(queries: np.ndarray, own: np.ndarray, x: np.ndarray, near: np.ndarray, entries: np.ndarray, beam: int, opened: int):
-    """For each query the best nodes met, by greedy search; own: its node, or -1."""
+def both_ways(n: int, lists: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and reversed edges of n nodes, and the n + 1 offsets of each node's; lists: the nodes' neighbours in a row."""
+    source = np.repeat(np.arange(n, dtype=np.int64), size)
+    pair = np.unique(np.concatenate([source * n + lists, lists.astype(np.int64) * n + source]))
+    return (pair % n).astype(np.int32), np.searchsorted(pair, np.arange(n + 1, dtype=np.int64) * n)
+
+
+def starts(queries: np.ndarray, own: np.ndarray, x: np.ndarray):
+    """For each query the nodes that its search begins at: its own, the best of nodes all over the shard, and those of
+    its leaves in the random trees."""
+    rng = np.random.default_rng(17)
+    trees = [grow_tree(x, LEAF, rng) for _ in range(TREES)]
+    leaf = [leaf_of(queries, t) for t in trees]
+    over = np.random.default_rng(23).choice(len(x), max(min(LEAF, len(x)), len(x) // SPREAD), replace=False)
+    for lo in range(0, len(queries), LEAF):
+        s = queries[lo : lo + LEAF] @ x[over].T
+        top = np.argpartition(-s, ENTRIES - 1, axis=1)[:, :ENTRIES] if len(over) > ENTRIES else np.broadcast_to(np.arange(len(over)), s.shape)
+        for k, t in enumerate(top, lo):
+            yield np.concatenate([over[t], own[k : k + 1][own[k : k + 1] >= 0], *(tree[3][at[k]] for tree, at in zip(trees, leaf, strict=True))])
+
+
+def search(queries: np.ndarray, begin, x: np.ndarray, near: np.ndarray, first: np.ndarray, beam: int, opened: int):
+    """For each query the best nodes met, by greedy search from its nodes in begin; near and first: see both_ways."""
     seen = np.zeros(len(x), bool)
-    for q, me in zip(queries, own, strict=True):
-        begin = np.concatenate([entries, near[me], [me]]) if me >= 0 else entries
-        nodes = np.unique(begin[begin >= 0])
+    for q, nodes in zip(queries, begin, strict=True):
+        nodes = np.unique(nodes)
         met = [nodes]
         seen[nodes] = True
         score, done = x[nodes] @ q, np.zeros(len(nodes), bool)
@@ -96,9 +147,8 @@ def search(queries: np.ndarray, own: np.ndarray, x: np.ndarray, near: np.ndarray
                 break
             pick = rest if len(rest) <= opened else rest[np.argpartition(-score[rest], opened - 1)[:opened]]
             done[pick] = True
-            new = near[nodes[pick]].ravel()
-            new = np.unique(new[new >= 0])
-            new = new[~seen[new]]
+            new = np.concatenate([near[first[m] : first[m + 1]] for m in nodes[pick].tolist()])
+            new = np.unique(new[~seen[new]])
             if len(new):
                 seen[new] = True
                 met.append(new)
@@ -232,15 +282,14 @@ def neighbours(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id",
         rep = have.column("rep").to_numpy()
         lists = have.column("near").combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
-        near = np.full((len(x), max(1, int(size.max(initial=0)))), -1, np.int32)
-        near[np.repeat(np.arange(len(x)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+        near, first = both_ways(len(x), lists.flatten().to_numpy(), size)
         q64 = asking.column("q").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         names = asking.column("query").to_numpy()
         same = {v.tobytes(): k for k, v in enumerate(exact)}
         me = np.array([same.get(v.tobytes(), -1) for v in q64])
-        entries = np.random.default_rng(23).choice(len(x), min(ENTRIES, len(x)), replace=False)
+        q32 = q64.astype(np.float32)
         out_q, out_r, out_s = [], [], []
-        for name, v, (nodes, score) in zip(names, q64, search(q64.astype(np.float32), me, x, near, entries, beam, OPEN), strict=True):
+        for name, v, (nodes, score) in zip(names, q64, search(q32, starts(q32, me, x), x, near, first, beam, OPEN), strict=True):
             top = nodes if len(nodes) <= 4 * k else nodes[np.argpartition(-score, 4 * k - 1)[: 4 * k]]
             s = (exact[top] * v).sum(axis=1)
             top_k = np.lexsort((rep[top], -s))[: k + 1]
