@@ -127,21 +127,23 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[bytes], list[int]]:
-    """Texts and labels of the sample: ids in the order of their hash, as long as both bounds hold. Null labels, ids and
-    texts, rows held out, and ids with two labels are left out."""
+    """Texts and labels of the sample: ids in the order of their hash; a text that would pass most_bytes is skipped and
+    those after it are still taken. Rows that repeat an id and text count once. Null labels, ids and texts, rows held
+    out, and ids with two labels are left out."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     marked = marked.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2").where(common.fold("doc_id", FOLDS) != 0)
     chosen = marked.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), "doc_id")  # most_rows rows at most
-    sized = common.cut(rows.select("h", "doc_id", "y", F.col("text").cast("binary").alias("t"), F.octet_length("text").alias("n")), "training")
-    total, last = 0, None
-    for r in sized.select("h", "doc_id", "n").orderBy("h", "doc_id").toLocalIterator():
-        total += r["n"]
-        if total > most_bytes:
-            break
-        last = r["h"]
-    got = [] if last is None else sized.where(F.col("h") <= last).select("h", "doc_id", "y", "t").collect()
+    rows = rows.distinct().select("h", "doc_id", "y", F.col("text").cast("binary").alias("t"), F.octet_length("text").cast("long").alias("n"))
+    sized = common.cut(rows.withColumn("row", F.monotonically_increasing_id()), "training")
+    total, fit = 0, []
+    for r in sized.select("h", "doc_id", "n", "row").orderBy("h", "doc_id", "n", "row").toLocalIterator():
+        if total + r["n"] <= most_bytes:
+            total += r["n"]
+            fit.append((r["row"],))
+    picked = docs.sparkSession.createDataFrame(fit, "row long")
+    got = sized.join(F.broadcast(picked), "row").select("h", "doc_id", "y", "t").collect()
     got.sort(key=lambda r: (r["h"], r["doc_id"], r["t"]))
     return [bytes(r["t"]) for r in got], [r["y"] for r in got]
 
