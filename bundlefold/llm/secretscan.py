@@ -2,7 +2,9 @@
 
 A candidate is a run of at least LEAST characters of [A-Za-z0-9+/_=.~-] that holds a digit, begins as a known key does,
 or changes between upper and lower case often; of name=value only the value counts. A block between PRIVATE KEY lines
-is one candidate. The forest sees the candidate's length and character classes, its character transitions, how much of
+is one candidate. So is the value beside a secret-like name (password = "..", token: .., --secret .., Bearer ..): all of
+a quoted string, else all up to white space but closing punctuation (.,; !! ??), whatever characters it has, from
+SHORTEST bytes. Of secrets inside one another the longest counts. The forest sees the candidate's length and character classes, its character transitions, how much of
 it dictionary words cover, the path the text came from and the words beside it. It is trained with numpy on labelled
 findings: by default `labelled_findings`, a fixed number of made-up ones; any list of findings and labels can be given.
 
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST, LETTERS_ONLY, BESIDE = 12, 20, 64
+#: Bytes of the shortest value beside a secret-like name.
+SHORTEST = 4
 #: Labelled findings that the default forest is trained on.
 FINDINGS, TREES, DEPTH = 8000, 48, 12
 
@@ -47,6 +51,13 @@ _DIGIT, _UPPER, _LOWER = (np.array([chr(b) in s for b in range(256)]) for s in (
 _BEGIN = {int.from_bytes(k.encode(), "little") for k in PREFIXES}
 _KEY_BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----.*?-----END [A-Z ]{0,40}PRIVATE KEY-----", re.S)
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9_-]*\Z")
+_SECRET_NAME = re.compile(rb"(?i:passw|pwd|passphrase|secret|token|api[_-]?key|credential|bearer)|(?<![A-Za-z])(?i:pass|key|auth|authorization|access|private|signature)(?![a-z])|(?<=[a-z])(?:Key|Pass|Auth)(?![a-z])")
+# a whole name and what sets a value off from it; names begin where no name goes on, so a long run is read once
+_ASSIGNED = re.compile(rb"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)(?:[\"'`\]]{0,3}[ \t]*+(=>|:=|==?|:|is(?=[ \t]))|(>))[ \t]*+")
+_FLAG = re.compile(rb"(?<![A-Za-z0-9_.-])((?i:bearer)|--[A-Za-z0-9_.-]++)()()[ \t]++")
+_QUOTED = {q: re.compile(rb"%c((?:[^%c\\\r\n]|\\[^\r\n])*+)%c" % (q, q, q)) for q in b"\"'`"}
+_EMPHASIS = re.compile(rb"(?<![!?])[!?]{2,}\Z")
+_UNSPACED, _UNSPACED_XML, _UNSPACED_URL = re.compile(rb"\S+"), re.compile(rb"[^\s<]+"), re.compile(rb"[^\s&#\"'<>]+")
 _NEXT_TO = re.compile(r"[A-Za-z_]+[0-9]*")
 
 
@@ -95,6 +106,28 @@ def candidates(data: np.ndarray, offsets: np.ndarray):
     return out
 
 
+def named_values(raw: bytes, lo: int, hi: int):
+    """(start, end) of the values beside secret-like names in raw[lo:hi], one text."""
+    for pattern in (_ASSIGNED, _FLAG):
+        for m in pattern.finditer(raw, lo, hi):
+            if not _SECRET_NAME.search(m[1]):
+                continue
+            a = m.end()
+            quoted = _QUOTED[raw[a]].match(raw, a, hi) if a < hi and raw[a] in _QUOTED else None
+            if quoted:
+                a, b = quoted.span(1)
+            else:
+                url = m[2] == b"=" and m.start() > lo and raw[m.start() - 1] in b"?&"
+                rest = (_UNSPACED_XML if m[3] else _UNSPACED_URL if url else _UNSPACED).match(raw, a, hi)
+                if not rest or m[1].lower().endswith(b"authorization") and rest[0].lower() in (b"bearer", b"basic"):
+                    continue
+                b = a + len(_EMPHASIS.sub(b"", rest[0]))
+                while b > a and (raw[b - 1] in b",;.\"'`" or raw[b - 1] in b")]}" and raw.count(b"([{"[b")]}".index(raw[b - 1])], a, b) < raw.count(raw[b - 1], a, b)):
+                    b -= 1
+            if b - a >= SHORTEST:
+                yield a, b
+
+
 def _entropy(value: str) -> float:
     n = len(value)
     return -sum(c / n * math.log2(c / n) for c in (value.count(x) for x in set(value)))
@@ -137,6 +170,7 @@ def feature_row(f: Finding) -> list[float]:
         float(bool(names & _SECRET) or any(s in w for w in beside[-2:] for s in ("token", "secret", "passw", "api_key", "apikey"))), float(bool(names & _OTHER)), float(bool(near & _MADE)),
         float(bool(re.search(r"[=:]\s*[\"']?\s*\Z", before))), float(before[-1:] in "\"'" and bool(before)), float(after[:1] == "@" or before[-1:] == "@"),
         float(bool(path & _QUIET)),
+        sum(c in "()[]{}<>" for c in v) / n, float(v[:1] in set("$%{<&(")), float(v.count(" ")),
     ]
 
 
@@ -163,7 +197,19 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> tuple[list[Finding],
         lambda: ("eyJhbGciOi" + pick(alnum, 24) + "." + pick(alnum, 40) + "." + pick(alnum + "-_", 43), rng.choice([prose(), "Authorization: Bearer "])),
         lambda: ("-----BEGIN RSA PRIVATE KEY-----" + pick(alnum + "+/", 200), prose()),
     ]
+    marks = "!@#$%^&*?+-_"
+    leet = lambda w: "".join({"a": "@", "e": "3", "i": "1", "o": "0", "s": "$"}.get(c, c) if rng.random() < 0.6 else c for c in w)
+    positive += [
+        lambda: (rng.choice(words) + pick(string.digits, rng.randint(1, 5)) + rng.choice(["", "", pick(marks, 1)]), assign(secret_names)),
+        lambda: (leet(rng.choice(words).title()) + pick(marks, 1) + pick(alnum, rng.randint(2, 5)) + rng.choice(["", pick(marks, 1)]), assign(secret_names)),
+        lambda: (pick(alnum + marks, rng.randint(8, 20)), assign(secret_names)),
+        lambda: (pick(rng.choice([string.ascii_lowercase, string.ascii_uppercase]), rng.randint(14, 40)), assign(secret_names)),
+    ]
+    code = lambda: rng.choice(words) + rng.choice(["", "_", "."]) + rng.choice([rng.choice(words), rng.choice(words).title()])
     negative = [
+        lambda: (rng.choice([code() + "()", code() + "(" + rng.choice(words) + ")", code() + "['" + rng.choice(words) + "']", "${" + rng.choice(words).upper() + "}", "{{" + rng.choice(words) + "}}", "<" + code() + ">", "$" + rng.choice(words), "%s", "self." + code(), code()]), assign(secret_names)),
+        lambda: (rng.choice([*words, "None", "null", "true", "false", "undefined", "str", "string", "required", "optional", "here", "this", "that", "what"]) + rng.choice(["", "", "s", "ed", "ing"]), assign(secret_names)),
+        lambda: (rng.choice(["changeme", "password", "example", "your_password", "xxxxxxxx", "********", "<password>", "placeholder", "test1234", "redacted"]), assign(secret_names)),
         lambda: (pick(hexa, rng.choice([32, 40, 64])), rng.choice([prose(), assign(other_names)])),
         lambda: ("-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), rng.choice([prose(), assign(other_names)])),
         lambda: (pick(string.digits, rng.randint(12, 19)), rng.choice([prose(), assign(other_names)])),
@@ -276,6 +322,9 @@ def findings_in(data: np.ndarray, offsets: np.ndarray, paths: list[str | None]):
     if b"PRIVATE KEY-----" in raw:
         for k in range(len(offsets) - 1):
             blocks += [(k, m.start() + int(offsets[k]), m.end() + int(offsets[k])) for m in _KEY_BLOCK.finditer(raw[offsets[k] : offsets[k + 1]])]
+    named = [(k, a, b) for k in range(len(offsets) - 1) for a, b in named_values(raw, int(offsets[k]), int(offsets[k + 1]))]
+    spots = sorted({*spots, *named})
+    if blocks:
         spots = sorted([s for s in spots if not any(b[1] <= s[1] < b[2] for b in blocks if b[0] == s[0])] + blocks)
     for r, a, b in spots:
         lo, hi = int(offsets[r]), int(offsets[r + 1])
@@ -288,7 +337,13 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.in
 def _judged(data, offs, paths, forest: Forest, threshold: float):
     got = list(findings_in(data, offs, paths))
     scores = forest.scores(np.array([feature_row(f) for *_, f in got])) if got else np.zeros(0)
+    secret = [g[:3] for g, s in zip(got, scores.tolist(), strict=True) if s >= threshold]
+    wide: dict[int, list] = {}
+    for r, a, b in secret:
+        wide.setdefault(r, []).append((a, b))
     for (r, a, b, f), s in zip(got, scores.tolist(), strict=True):
+        if any(x <= a and b <= y and (x, y) != (a, b) for x, y in wide.get(r, ())):
+            continue  # part of a longer secret
         yield r, a, b, kind_of(f.value, f.before), f, s, s >= threshold
 
 
@@ -340,8 +395,9 @@ def redacted(docs: DataFrame, forest: Forest | None = None, threshold: float = 0
                     for r, found in spans.items():
                         raw, at, new = texts[r].encode(), 0, []
                         for a, b, kind in found:
-                            new += [raw[at:a], f"<{kind}>".encode()]
-                            at = b
+                            if a >= at:
+                                new += [raw[at:a], f"<{kind}>".encode()]
+                            at = max(at, b)  # secrets that overlap are one
                         texts[r] = b"".join([*new, raw[at:]]).decode()
                     part = part.set_column(text_at, part.schema.field(text_at), pa.array(texts, part.schema.field(text_at).type))
                 yield part
