@@ -6,8 +6,10 @@ other space go to the library whole, as do, to be safe, those that hold what mig
 tokenizer drops case, what might be a special token.
 
 Pieces are found and looked up with numpy over a batch's bytes: a table from a piece's hash, length and first bytes to
-its ids. New pieces go to the library many at a time, a special token between them, at which it parts texts; of letters
-with one mark after them, both parts are known apart. The table is bounded and keeps what came first.
+its ids. New pieces go to the library many at a time, a special token between them, at which it parts texts. Of letters
+with one mark after them both parts are encoded apart, but only where the tokenizer itself parts the last letter from
+each mark: a letter that its normaliser turns into a letter and a combining mark (a capital I with a dot, composition
+exclusions) draws the mark into its token. The table is bounded and keeps what came first.
 """
 
 from __future__ import annotations
@@ -116,6 +118,7 @@ class Encoder:
         self.low = np.arange(256, dtype=np.uint8)
         if self.drops:
             self.low[65:91] += 32
+        self.apart_after: dict[str, bool] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -139,6 +142,15 @@ class Encoder:
                 out[k] = raw[4 * a + 4 : 4 * b]
         return out
 
+    def parts_after(self, letter: str) -> bool:
+        """Whether each mark after this letter is cut off by the tokenizer; asked of its own normaliser and pre-tokenizer,
+        once for each letter."""
+        if letter not in self.apart_after:
+            normal, cut = self.tok.normalizer, self.tok.pre_tokenizer.pre_tokenize_str
+            pieces = [cut(normal.normalize_str(letter + m) if normal else letter + m) for m in MARKS]
+            self.apart_after[letter] = all(len(p) > 1 and p[-1][0] == m for p, m in zip(pieces, MARKS, strict=True))
+        return self.apart_after[letter]
+
     def learn(self, pieces: list[bytes], stems: list[bytes | None]) -> list[bytes]:
         """The ids of new pieces; what they have in common is encoded once. stems: the ids of each piece without its last
         byte, if that is a mark and they are known."""
@@ -147,7 +159,7 @@ class Encoder:
         for raw, stem in zip(pieces, stems, strict=True):
             p = raw.decode()
             body = p[1:] if not self.drops and p[0] == " " else p
-            if body[-1:] in MARKS and body[:-1].isalpha():
+            if body[-1:] in MARKS and body[:-1].isalpha() and self.parts_after(body[-2]):
                 parts.append((stem if stem is not None else ask.setdefault(p[:-1], len(ask)), body[-1]))
             else:
                 parts.append((ask.setdefault(p, len(ask)), None))
@@ -232,11 +244,13 @@ class Encoder:
             usable[first[r] : first[r + 1]] = False
         miss = np.flatnonzero((entry < 0) & usable)
         if len(miss):
-            new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            where = miss[at]
+            order = miss[np.lexsort((check[miss], h[miss]))]
+            fresh = np.ones(len(order), bool)  # pieces that share a hash differ in their check
+            fresh[1:] = (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+            where, new = order[fresh], h[order[fresh]]
             raw, s, e = low.tobytes(), starts[where], ends[where]
             got = t.add(check[where], self.learn([raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)], self._stems(low, s, e)))
-            entry[miss] = got[back]
+            entry[order] = got[np.cumsum(fresh) - 1]
         entry[~usable] = -1
         n = np.where(entry >= 0, t.n[entry], 0)
         begin = np.cumsum(n) - n
@@ -246,6 +260,7 @@ class Encoder:
         if len(miss):
             if t.count <= t.most:
                 free = t.key[(new & U(t.mask)).astype(np.int64)] != new  # a hash that another piece has stays that piece's
+                free[1:] &= new[1:] != new[:-1]
                 t.keep(new[free], got[free])
             else:
                 t.forget(count, used)

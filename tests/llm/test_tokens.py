@@ -1,6 +1,7 @@
 """Operators 8, 5 and 4 against the library itself and exact round trips."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -35,6 +36,34 @@ def test_encoder_equals_library(name, monkeypatch):
             assert [ids[a:b].tolist() for a, b in zip(firsts[:-1], firsts[1:], strict=True)] == want[lo:hi]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_letter_and_mark(name):
+    """Every letter and combining mark but most of the large uniform blocks, before and after each punctuation mark."""
+    from tokenizers import Tokenizer
+
+    chars = [chr(c) for c in range(0x30000) if unicodedata.category(chr(c))[0] in "LM" and not (c > 0x33FF and c % 64 and not 0xA000 <= c < 0xAC00 and not 0xFB00 <= c < 0x12000)]
+    fixed = ["\u0130. Y\u0131lmaz", "T\u00dcRK\u0130YE CUMHUR\u0130YET\u0130, 1923", "EVET AL\u0130!", "\u0958. \ufb2a, x\u09dc;"]
+    ts = [f"{c}. a{c}, {c}a; " + " ".join(c + m + " x" + c + m + " " + m + c for m in encoder.MARKS) for c in chars] + fixed
+    raw = [t.encode() for t in ts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    ids, firsts = encoder.Encoder(tokenizer_path(name)).encode(data, offs)
+    want = [e.ids for e in Tokenizer.from_file(tokenizer_path(name)).encode_batch(ts, add_special_tokens=False)]
+    assert not [t for t, a, b, w in zip(ts, firsts[:-1], firsts[1:], want, strict=True) if ids[a:b].tolist() != w]
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    """Pieces whose hashes are equal are told apart by their checks, within a batch and in the table."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(encoder, "span_hashes", lambda low, s, e, *_: np.full(len(s), 77, np.uint64))
+    tok, e = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), encoder.Encoder(tokenizer_path("word_bpe_49k.json"))
+    for ts in (["the cat sat on a mat", "cats. dogs!"], ["a cat sat", "the dogs!"]):
+        raw = [t.encode() for t in ts]
+        data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        ids, firsts = e.encode(data, offs)
+        assert [ids[a:b].tolist() for a, b in zip(firsts[:-1], firsts[1:], strict=True)] == [x.ids for x in tok.encode_batch(ts, add_special_tokens=False)]
+
+
 def test_table_under_pressure():
     rng = np.random.default_rng(4)
     t = encoder.Table(3000)
