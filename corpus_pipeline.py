@@ -2,13 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and, but for the last, returns the columns of
 docs: quality (documents that the classifier rejects go), near duplicates (of each group the document of least id
-stays), decontamination (contaminated documents go), secrets (found ones are replaced in the text), packing (pieces)."""
+stays), decontamination (contaminated documents go), secrets (found ones are replaced in the text), packing (pieces).
+
+Each stage takes nulls in any column, texts of any length, repeated rows and ids, ties (the least id, then the least row),
+tables without rows and other columns of any name and type; its docstring says what becomes of them."""
 
 from __future__ import annotations
 
 from bundlefold.llm import common
 from bundlefold.llm.decontam import uncontaminated
-from bundlefold.llm.ngramjoin import near_duplicates
+from bundlefold.llm.ngramjoin import one_of_each
 from bundlefold.llm.packing import pack
 from bundlefold.llm.quality import accepted
 from bundlefold.llm.queries import tokenizer_path
@@ -20,39 +23,27 @@ from pyspark.sql import functions as F
 ORACLE_SQL = None
 
 
-#: Ids that are sent to every task (16 bytes each); more meet the documents in a shuffled join.
-SENT = 1_000_000
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of some ids, compared as whole numbers; rows with a null id stay."""
-    gone = common.cut(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    few = gone.count() <= SENT
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose whole text scores below the threshold go. Null and empty texts have the score of the labels' shares and go
+    or stay together; rows that repeat a text get the same score; without labels every score is 0.5 and every row stays."""
     return accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that repeat an id that stays, one stays: the least in text and the other columns. Rows without an id stay."""
-    kept = _without(docs, near_duplicates(docs).where("class_id <> doc_id"))
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again"))
-    if again.isEmpty():  # as a rule; asked of ids alone
-        return kept
-    columns = docs.columns
-    one = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in columns if c not in ("doc_id", "text")])).alias("__one"))
-    one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__one.`{c}`").alias(c) for c in columns])
-    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(one)
+    """Of each group of near duplicate texts the row of the least id stays. Different texts of one id are judged each for
+    itself; rows that repeat an id and its words go but one. Null, empty and wordless texts and rows without an id stay."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose whole text is contaminated go, each row for itself, so repeated rows go or stay together; null, empty and
+    wordless texts stay, as do all rows where the benchmark is empty."""
     return uncontaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text where it is replaced."""
+    """Secrets in the text become <kind>; n_chars, where there is one, follows the text. No row goes; null texts stay null, and
+    rows that repeat are redacted each. A null source counts as an empty path."""
     out = redacted(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
@@ -60,6 +51,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row, with their sequences. Null and empty texts have the end id only; repeated rows are packed
+    each; a long text is cut into several pieces."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"), 2)
 
 
