@@ -11,18 +11,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of an Arrow batch: rows that hold a bundle are some megabytes each.
-BATCH_BYTES = 32 << 20
+#: Rows and bytes of an Arrow batch handed to a Python worker, the same for all of the package, so that it doesn't matter
+#: which part of it was called last.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Rows of a partition whose numbers are given in one task.
 ROWS = 500_000
 _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Only in local mode (tests), where driver and executors are one
+    process, a temporary one stands in where that is unset; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="bundlefold-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -30,7 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds the bytes that a Python worker is given at a time."""
+    """Bounds the rows and bytes that a Python worker is given at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
