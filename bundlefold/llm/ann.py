@@ -195,7 +195,7 @@ def build(rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "em
             flat = b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             yield common.batch_of(packed, b.column(0), b.column(1), b.column(2), [r.tobytes() for r in flat], [r.tobytes() for r in flat.astype(np.float32)])
 
-    nodes = common.cut(placed.mapInArrow(pack, "shard int, node int, rep long, v binary, w binary"), "nodes")
+    nodes = common.cut(placed.mapInArrow(common.lean(pack), "shard int, node int, rep long, v binary, w binary"), "nodes")
     first = few.where("place = 1").select(F.col("id").alias("rep"), "v")
     members = few.join(first, "v").select("rep", "id", "place")
     graph = common.cut(nodes.select("shard", "node", "w").groupBy("shard").applyInArrow(_begin(dim, degree), "shard int, node int, near array<int>, score array<float>"), "graph")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,36 +12,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch handed to a Python worker.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+from .. import tables
+
 #: Bytes of text that one vectorised step works on.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
-def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session, so that a Python worker's memory is bounded too."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+prepare = tables.bound_batches
+shared_folder = tables.shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="bundlefold-"))
-        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-    return _own_folder[0]
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -116,6 +99,21 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
 
 
+def lean(work: Callable) -> Callable:
+    """work, which goes through the batches of a task, and then gives the memory it has freed back to the system, as
+    workers wait for later tasks beside the busy ones."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return run
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -131,7 +129,7 @@ def rows_kept(docs: DataFrame, text_col: str, judge) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 yield part.filter(pa.array(judge(part, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]), pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
 
 
 def ragged(values: np.ndarray, firsts: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -75,7 +75,7 @@ def write_warc(pages: DataFrame, folder: str, shards: int, file_bytes: int = FIL
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     ordered = rows.repartitionByRange(shards, "page_id", "url").sortWithinPartitions("page_id", "url")
-    return common.cut(ordered.mapInArrow(work, "file string, n_records long, ordinal long, offset long, length long, page_id long"), "warc-index")
+    return common.cut(ordered.mapInArrow(common.lean(work), "file string, n_records long, ordinal long, offset long, length long, page_id long"), "warc-index")
 
 
 #: Tasks that files are dealt to: the rows that name them are few and small, so Spark would put them into one.
@@ -121,7 +121,7 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
                 if out:
                     yield common.batch_of(_RECORDS, *zip(*out, strict=True))
 
-    return _dealt(index.select("file").distinct(), index).mapInArrow(work, "file string, ordinal long, page_id long, url string, payload binary, intact boolean")
+    return _dealt(index.select("file").distinct(), index).mapInArrow(common.lean(work), "file string, ordinal long, page_id long, url string, payload binary, intact boolean")
 
 
 def copy_replica(index: DataFrame, source: str, target: str, damaged: str = "false") -> DataFrame:
@@ -142,7 +142,7 @@ def copy_replica(index: DataFrame, source: str, target: str, damaged: str = "fal
                 files.rename(path, f"{target}/{name}")
                 yield pa.RecordBatch.from_pydict({"file": [name], "n_bytes": [len(raw)]})
 
-    return common.cut(_dealt(per_file, index).mapInArrow(work, "file string, n_bytes long"), "replica")
+    return common.cut(_dealt(per_file, index).mapInArrow(common.lean(work), "file string, n_bytes long"), "replica")
 
 
 def tree(raw: bytes, lengths: list[int]) -> list[list[tuple[int, int, bytes]]]:
@@ -176,7 +176,7 @@ def replica_trees(index: DataFrame, folder: str) -> DataFrame:
                         yield common.batch_of(_NODES, [name] * len(starts), [k] * len(starts), range(lo, lo + len(starts)), starts, ends, hashes)
 
     path = common.new_folder(index.sparkSession, "trees")
-    _files(index).mapInArrow(work, "file string, level int, node long, start long, end long, hash binary").write.partitionBy("level").parquet(path)
+    _files(index).mapInArrow(common.lean(work), "file string, level int, node long, start long, end long, hash binary").write.partitionBy("level").parquet(path)
     return index.sparkSession.read.schema("file string, node long, start long, end long, hash binary, level int").parquet(path)
 
 

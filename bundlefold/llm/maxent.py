@@ -80,7 +80,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if ends:
             yield common.batch_of(_COUNTS, [int(END.astype(np.int64))], [0], [ends])
 
-    return texts.mapInArrow(work, "h long, tail int, n long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
+    return texts.mapInArrow(common.lean(work), "h long, tail int, n long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 def _count_batches(h, t, n):
@@ -132,7 +132,7 @@ def id_table(docs: DataFrame, head) -> DataFrame:
                     kn[words.first[1:]] - kn[words.first[:-1]] + int(end_in[0]), blob, common.ragged(h[~known].view(np.int64), rest, pa.int64()),
                 )
 
-    return docs.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, head_log double, known long, ids binary, tail array<long>")
+    return docs.mapInArrow(common.lean(work), "doc_id long, held_out boolean, n_tokens long, head_log double, known long, ids binary, tail array<long>")
 
 
 def histories(batch: pa.RecordBatch, column: str, most: int):
@@ -169,7 +169,7 @@ def sum_blobs(rows: DataFrame, kind: str) -> dict[int, np.ndarray]:
         for p, x in total.items():
             yield common.batch_of(_BLOB, [p], [x.tobytes()])
 
-    got = rows.repartition(PARTS, "part").mapInArrow(work, "part int, blob binary").collect()
+    got = rows.repartition(PARTS, "part").mapInArrow(common.lean(work), "part int, blob binary").collect()
     return {r["part"]: np.frombuffer(r["blob"], kind) for r in got}
 
 
@@ -201,7 +201,7 @@ def neighbour_counts(ids: DataFrame) -> np.ndarray:
                 total[at] += n
         yield from _blobs(total.reshape(IDS, CONTEXTS))
 
-    return _joined(sum_blobs(ids.select("ids").mapInArrow(work, "part int, blob binary"), "<f4"), IDS, CONTEXTS)
+    return _joined(sum_blobs(ids.select("ids").mapInArrow(common.lean(work), "part int, blob binary"), "<f4"), IDS, CONTEXTS)
 
 
 def cluster(counts: np.ndarray, classes: int = CLASSES, rounds: int = 20) -> np.ndarray:
@@ -269,7 +269,7 @@ def gradient_round(ids: DataFrame, shared, step: int, rate: float = 0.7) -> np.n
             yield from _blobs(np.concatenate([weights * met[:, None], squares * (met > 0)[:, None], met[:, None]], axis=1))
 
     width = 2 * CLASSES + 1
-    total = _joined(sum_blobs(ids.select("ids").mapInArrow(work, "part int, blob binary"), "<f4"), FEATURES, width)
+    total = _joined(sum_blobs(ids.select("ids").mapInArrow(common.lean(work), "part int, blob binary"), "<f4"), FEATURES, width)
     met = total[:, -1:]
     old = shared.value
     weights = np.where(met > 0, total[:, :CLASSES] / np.maximum(met, 1), old[0]).astype(np.float32)
@@ -332,7 +332,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
                 sums[lo : lo + len(first) - 1] = total[first[1:]] - total[first[:-1]]
             yield common.batch_of(out, *(col(c) for c in ("row", "doc_id", "held_out", "n_tokens", "head_log", "known")), sums)
 
-    scored = table.drop("tail").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, head_log double, known long, in_class double")
+    scored = table.drop("tail").mapInArrow(common.lean(score), "row long, doc_id long, held_out boolean, n_tokens long, head_log double, known long, in_class double")
     met = table.select("row", F.explode("tail").alias("h")).join(rare.select("h", "n"), "h", "left")
     met = met.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("tail_log"), F.count("n").alias("tail_known"))
     whole = scored.join(met, "row", "left").withColumn("log", F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)))

@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 lists = np.concatenate([[0], np.cumsum(has * bands)])
                 yield common.batch_of(_SIGNATURES, part.column(0), k1, k2, common.ragged(out.ravel().view(np.int64), lists, pa.int64()))
 
-    return docs.mapInArrow(work, "doc_id long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(common.lean(work), "doc_id long, k1 long, k2 long, bands array<long>")
 
 
 def gram_sets(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -105,7 +105,7 @@ def gram_sets(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 yield common.batch_of(_SETS, part.column(0).take(pa.array(has)), k1, k2, common.ragged(sig.ravel().view(np.int64), np.arange(len(has) + 1) * bands, pa.int64()), common.ragged(np.concatenate(sets), cuts, pa.int64()))
 
-    return docs.mapInArrow(work, "doc_id long, k1 long, k2 long, bands array<long>, grams array<long>")
+    return docs.mapInArrow(common.lean(work), "doc_id long, k1 long, k2 long, bands array<long>, grams array<long>")
 
 
 def _overlaps(sets: list[np.ndarray], chunk: int = 1 << 13) -> np.ndarray:
@@ -176,7 +176,7 @@ def word_keys(docs: DataFrame, text_col: str, names: tuple[str, str]) -> DataFra
                 keys = (pa.array(np.where(has, k, U(0)).view(np.int64)) for k in sequence_keys(words.hashes(), words.first))
                 yield pa.RecordBatch.from_arrays([*keys, *part.columns], schema=pa.schema([*first, *part.schema]))
 
-    return docs.mapInArrow(work, StructType([*(StructField(n, LongType()) for n in names), *docs.schema.fields]))
+    return docs.mapInArrow(common.lean(work), StructType([*(StructField(n, LongType()) for n in names), *docs.schema.fields]))
 
 
 def _meetings(banded: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
                 yield common.batch_of(_OUT, part.column(0), part.column(2), s, (s >= threshold).astype(np.int32))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(common.fold(id_col, FOLDS) == 0, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(common.lean(work), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:

@@ -367,7 +367,7 @@ def secret_findings(docs: DataFrame, forest: Forest | None = None, threshold: fl
                 if out:
                     yield common.batch_of(_FOUND, *zip(*out, strict=True))
 
-    return _rows(docs, id_col, text_col, path_col).mapInArrow(work, "doc_id long, start long, end long, kind string, sha256 string, score double, is_secret boolean")
+    return _rows(docs, id_col, text_col, path_col).mapInArrow(common.lean(work), "doc_id long, start long, end long, kind string, sha256 string, score double, is_secret boolean")
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -402,4 +402,4 @@ def redacted(docs: DataFrame, forest: Forest | None = None, threshold: float = 0
                     part = part.set_column(text_at, part.schema.field(text_at), pa.array(texts, part.schema.field(text_at).type))
                 yield part
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(common.lean(work), docs.schema)
