@@ -8,8 +8,16 @@ SHORTEST bytes. Of secrets inside one another the longest counts. The forest see
 it dictionary words cover, the path the text came from and the words beside it. It is trained with numpy on labelled
 findings: by default `labelled_findings`, a fixed number of made-up ones; any list of findings and labels can be given.
 
-Null and empty texts have no findings. Rows with a null path have an empty path. Repeated rows have findings each.
-Findings carry byte offsets of the UTF-8 text and a digest of the value, never the value itself.
+A run is judged as a whole, and so is each part of it between / = . and ~ and from a known key's beginning on, so that a
+key glued to a path or to other fields is seen. All features are of the whole value. A block between PRIVATE KEY lines is
+found by pairing the lines in order; of a block that is never closed the lines of key characters that follow count. What
+is no candidate, and so never found: values without a digit, a known beginning or often changing case that stand beside no
+secret-like name, and values of fewer than SHORTEST bytes.
+
+Null and empty texts and empty tables have no findings. Rows with a null path have an empty path. Repeated rows have
+findings each. Very long texts are scanned whole, in time that grows with their length. Of two findings that begin and end
+alike there is one; findings that score alike need no order. Only the columns named are read; redaction leaves all others,
+whatever their names, as they are. Findings carry byte offsets of the UTF-8 text and a digest of the value, never the value.
 """
 
 from __future__ import annotations
@@ -19,6 +27,8 @@ import math
 import random
 import re
 import string
+from collections import Counter
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -49,7 +59,10 @@ _IN = np.zeros(256, bool)
 _IN[[ord(c) for c in string.ascii_letters + string.digits + "+/_=.~-"]] = True
 _DIGIT, _UPPER, _LOWER = (np.array([chr(b) in s for b in range(256)]) for s in (string.digits, string.ascii_uppercase, string.ascii_lowercase))
 _BEGIN = {int.from_bytes(k.encode(), "little") for k in PREFIXES}
-_KEY_BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----.*?-----END [A-Z ]{0,40}PRIVATE KEY-----", re.S)
+_KEY_LINE = re.compile(rb"-----(?:(BEGIN)|END) [A-Z ]{0,40}PRIVATE KEY-----")
+_KEY_BODY = re.compile(rb"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+")
+_PART = re.compile(rb"[^/=.~]+")
+_KNOWN = re.compile(rb"(?<![A-Za-z0-9])(?:%s)[A-Za-z0-9_-]{8,}" % b"|".join(k.encode() for k in PREFIXES))
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9_-]*\Z")
 _SECRET_NAME = re.compile(rb"(?i:passw|pwd|passphrase|secret|token|api[_-]?key|credential|bearer)|(?<![A-Za-z])(?i:pass|key|auth|authorization|access|private|signature)(?![a-z])|(?<=[a-z])(?:Key|Pass|Auth)(?![a-z])")
 # a whole name and what sets a value off from it; names begin where no name goes on, so a long run is read once
@@ -61,6 +74,19 @@ _UNSPACED, _UNSPACED_XML, _UNSPACED_URL = re.compile(rb"\S+"), re.compile(rb"[^\
 _NEXT_TO = re.compile(r"[A-Za-z_]+[0-9]*")
 
 
+class _Kinds(dict):
+    """Of a character: d for digits, u and l for upper and lower case letters of ASCII, s for any other."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "d" if c.isdigit() else "u" if c in string.ascii_uppercase else "l" if c in string.ascii_lowercase else "s"
+        return self[code]
+
+
+_KIND = _Kinds()
+_HEX = frozenset("0123456789abcdef")
+
+
 class Finding(NamedTuple):
     """A candidate and where it stands: the text before and after it, and the path of its text."""
 
@@ -99,13 +125,41 @@ def candidates(data: np.ndarray, offsets: np.ndarray):
         if 0 < at < len(raw) - 1 and _NAME.match(raw[:at].decode()):
             a += at + 1
             raw = raw[at + 1 :]
-        while raw[-1:] in (b".", b"-", b"~"):
-            raw, b = raw[:-1], b - 1
-        if len(raw) >= LEAST:
+        end = raw.rstrip(b".-~")
+        b -= len(raw) - len(end)
+        if len(end) >= LEAST:
             out.append((r, a, b))
+            out += [(r, a + x, a + y) for x, y in parts_of(end)]
     return out
 
 
+def parts_of(run: bytes):
+    """(start, end) of the parts of a run that could be keys of their own."""
+    for m in _PART.finditer(run):
+        part = m[0]
+        if len(part) >= LEAST and len(part) < len(run) and any(48 <= c <= 57 for c in part):
+            yield m.span()
+    for m in _KNOWN.finditer(run):
+        if m.start() or m.end() < len(run):
+            yield m.span()
+
+
+def key_blocks(raw: bytes, lo: int, hi: int):
+    """(start, end) of private key blocks in raw[lo:hi], one text: from each BEGIN line to the END line that is the next such
+    line, else to the last line of key characters that follows."""
+    begin = None
+    for m in _KEY_LINE.finditer(raw, lo, hi):
+        if m[1]:
+            if begin:
+                yield begin.start(), _KEY_BODY.match(raw, begin.end(), m.start()).end()
+            begin = m
+        elif begin:
+            yield begin.start(), m.end()
+            begin = None
+    if begin:
+        yield begin.start(), _KEY_BODY.match(raw, begin.end(), hi).end()
+
+
 def named_values(raw: bytes, lo: int, hi: int):
     """(start, end) of the values beside secret-like names in raw[lo:hi], one text."""
     for pattern in (_ASSIGNED, _FLAG):
@@ -130,47 +184,57 @@ def named_values(raw: bytes, lo: int, hi: int):
 
 def _entropy(value: str) -> float:
     n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in (value.count(x) for x in set(value)))
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+
 
+@cache
+def _dictionary():
+    """An automaton of the dictionary's words."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for w in _WORDS:
+        out.add_word(w, len(w))
+    out.make_automaton()
+    return out
 
-def _covered(value: str) -> float:
-    """The share of a value's characters that dictionary words cover, longest first from the left."""
-    low, at, got = value.lower(), 0, 0
-    while at < len(low):
-        size = next((n for n in range(min(11, len(low) - at), 2, -1) if low[at : at + n] in _WORDS), 0)
-        got += size
-        at += size or 1
-    return got / max(1, len(value))
+
+def _covered(low: str) -> float:
+    """The share of a lower-cased value's characters that dictionary words cover, the longest first from the left."""
+    return sum(n for _, n in _dictionary().iter_long(low)) / max(1, len(low))
 
 
 def feature_row(f: Finding) -> list[float]:
-    v = f.value[:400]
+    """A finding's features, all of the whole value."""
+    v = f.value
     n = max(1, len(v))
-    kind = "".join("d" if c.isdigit() else "u" if c in string.ascii_uppercase else "l" if c in string.ascii_lowercase else "s" for c in v)
-    low = v.lower()
+    kind, low = v.translate(_KIND), v.lower()
+    kinds = np.frombuffer(kind.encode(), np.uint8)
+    code = np.frombuffer(v.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    step = np.diff(code)
     before, after = f.before[-BESIDE:], f.after[:BESIDE]
     beside = [w.lower() for w in _NEXT_TO.findall(before)][-3:]
     names = {p for w in beside[-2:] for p in (w, *w.split("_"))}
     near = names | {w.lower() for w in _NEXT_TO.findall(after)[:1]}
     path = set(re.split(r"[^a-z]+", f.path.lower()))
-    vowels = sum(c in "aeiou" for c in low)
-    letters = sum(c != "d" and c != "s" for c in kind)
+    vowels = sum(low.count(c) for c in "aeiou")
+    letters = kind.count("u") + kind.count("l")
     return [
-        float(len(f.value)),
+        float(len(v)),
         kind.count("d") / n, kind.count("u") / n, kind.count("l") / n, kind.count("s") / n,
         _entropy(v) if v else 0.0, len(set(v)) / n,
-        sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / n,
-        sum(a == b for a, b in zip(v, v[1:], strict=False)) / n,
-        sum(ord(b) - ord(a) == 1 for a, b in zip(v, v[1:], strict=False)) / n,
-        float(all(c in "0123456789abcdef" for c in low)), float(set(kind) == {"d"}),
-        _covered(v), vowels / max(1, letters),
+        float(np.count_nonzero(kinds[1:] != kinds[:-1])) / n,
+        float(np.count_nonzero(step == 0)),
+        float(np.count_nonzero(step == 1)),
+        float(_HEX.issuperset(low)), float(set(kind) == {"d"}),
+        _covered(low), vowels / max(1, letters),
         float(v[:4] in PREFIXES or "PRIVATE KEY" in v[:60]),
         float(v.count("/")), float(v.count(".")), float(bool(re.fullmatch(r"[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}", low))),
-        float(any(w in low for w in _MADE)),
+        sum(len(w) * low.count(w) for w in _MADE) / n,
         float(bool(names & _SECRET) or any(s in w for w in beside[-2:] for s in ("token", "secret", "passw", "api_key", "apikey"))), float(bool(names & _OTHER)), float(bool(near & _MADE)),
         float(bool(re.search(r"[=:]\s*[\"']?\s*\Z", before))), float(before[-1:] in "\"'" and bool(before)), float(after[:1] == "@" or before[-1:] == "@"),
         float(bool(path & _QUIET)),
-        sum(c in "()[]{}<>" for c in v) / n, float(v[:1] in set("$%{<&(")), float(v.count(" ")),
+        sum(v.count(c) for c in "()[]{}<>") / n, float(v[:1] in set("$%{<&(")), float(v.count(" ")),
     ]
 
 
@@ -316,16 +380,15 @@ def kind_of(value: str, before: str) -> str:
 
 def findings_in(data: np.ndarray, offsets: np.ndarray, paths: list[str | None]):
     """(text, start, end, Finding) of every candidate of a batch, byte offsets within each text."""
-    spots = candidates(data, offsets)
-    blocks = []
     raw = data.tobytes() if len(data) else b""
-    if b"PRIVATE KEY-----" in raw:
-        for k in range(len(offsets) - 1):
-            blocks += [(k, m.start() + int(offsets[k]), m.end() + int(offsets[k])) for m in _KEY_BLOCK.finditer(raw[offsets[k] : offsets[k + 1]])]
-    named = [(k, a, b) for k in range(len(offsets) - 1) for a, b in named_values(raw, int(offsets[k]), int(offsets[k + 1]))]
-    spots = sorted({*spots, *named})
-    if blocks:
-        spots = sorted([s for s in spots if not any(b[1] <= s[1] < b[2] for b in blocks if b[0] == s[0])] + blocks)
+    spots = candidates(data, offsets)
+    spots += [(k, a, b) for k in range(len(offsets) - 1) for a, b in named_values(raw, int(offsets[k]), int(offsets[k + 1]))]
+    blocks = [(k, a, b) for k in range(len(offsets) - 1) for a, b in key_blocks(raw, int(offsets[k]), int(offsets[k + 1]))] if b"PRIVATE KEY-----" in raw else []
+    if blocks:  # in the order of the batch, and apart from each other
+        first, last = (np.array(c) for c in list(zip(*blocks, strict=True))[1:])
+        at = np.searchsorted(first, np.array([a for _, a, _ in spots], np.int64), "right") - 1
+        spots = [s for s, k in zip(spots, at.tolist(), strict=True) if k < 0 or s[1] >= last[k]] + blocks
+    spots = sorted(set(spots))
     for r, a, b in spots:
         lo, hi = int(offsets[r]), int(offsets[r + 1])
         yield r, a - lo, b - lo, Finding(raw[a:b].decode(errors="replace"), raw[max(lo, a - 4 * BESIDE) : a].decode(errors="replace"), raw[b : min(hi, b + 4 * BESIDE)].decode(errors="replace"), paths[r] or "")
@@ -334,16 +397,28 @@ def findings_in(data: np.ndarray, offsets: np.ndarray, paths: list[str | None]):
 _FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("sha256", pa.string()), ("score", pa.float64()), ("is_secret", pa.bool_())])
 
 
+def part_of_longer(spots: list[tuple[int, int, int]], wide: list[tuple[int, int, int]]) -> list[bool]:
+    """Of each stretch (text, start, end), sorted, whether one of wide, sorted too, holds it and more."""
+    ordered = sorted([(r, a, -b, 1, -1) for r, a, b in wide] + [(r, a, -b, 0, k) for k, (r, a, b) in enumerate(spots)])
+    out, text, end = [False] * len(spots), -1, -1
+    for r, _, b, is_wide, k in ordered:  # the longer first, and a stretch before itself
+        if r != text:
+            text, end = r, -1
+        if is_wide:
+            end = max(end, -b)
+        else:
+            out[k] = end >= -b
+    return out
+
+
 def _judged(data, offs, paths, forest: Forest, threshold: float):
     got = list(findings_in(data, offs, paths))
     scores = forest.scores(np.array([feature_row(f) for *_, f in got])) if got else np.zeros(0)
     secret = [g[:3] for g, s in zip(got, scores.tolist(), strict=True) if s >= threshold]
-    wide: dict[int, list] = {}
-    for r, a, b in secret:
-        wide.setdefault(r, []).append((a, b))
-    for (r, a, b, f), s in zip(got, scores.tolist(), strict=True):
-        if any(x <= a and b <= y and (x, y) != (a, b) for x, y in wide.get(r, ())):
-            continue  # part of a longer secret
+    covered = part_of_longer([g[:3] for g in got], secret)
+    for (r, a, b, f), s, inside in zip(got, scores.tolist(), covered, strict=True):
+        if inside:
+            continue
         yield r, a, b, kind_of(f.value, f.before), f, s, s >= threshold
 
 
