@@ -3,15 +3,19 @@
 Texts are lower-cased (A-Z) and read as words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. A window is a run of `width` words
 of an item; an item of fewer words, but not none, is one window. The automaton holds each distinct window once, words
 parted by single spaces, and runs once over each document's words; matches lead back to word numbers and from there
-to byte offsets of the original text. Above MOST bytes of windows the items are dealt to several automata, which scan
-one after the other, carrying what was found. Null texts have no words; an empty benchmark hits nothing.
+to byte offsets of the original text. Above MOST bytes of windows the items are dealt to several automata, so that a
+worker's memory stays bounded: a worker then gathers GATHER bytes of texts and scans them with one after the other.
+The items of each group lie in the shared folder as Parquet, written by tasks; workers read them, the driver doesn't.
+
+Null and empty texts have no words. Items that are null, empty or without words have no windows; an item with a null id
+hits like any other, but isn't counted or listed; rows that repeat an item, id and text, are one, and texts of one id are
+one item. An empty benchmark hits nothing, an empty table gives an empty result. Very long texts are scanned whole. Each
+row of docs is judged for itself, so repeated rows are alike. Of docs only the id and the text are read; where rows are
+filtered all columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +26,11 @@ from . import common
 WIDTH = 13
 #: Bytes of windows in one automaton: about 40 times as much memory in a worker.
 MOST = 4 << 20
+#: Bytes of texts that are scanned by one automaton before the next is built, where there are several.
+GATHER = 32 << 20
 
 _LOW = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_built: dict[str, object] = {}
+_built: dict[tuple[str, int], tuple] = {}
 
 
 def words(text: str | bytes | None) -> list[bytes]:
@@ -36,20 +42,7 @@ def windows(item_words: list[bytes], width: int = WIDTH) -> list[list[bytes]]:
     return [item_words[k : k + width] for k in range(max(1, len(item_words) - width + 1))] if item_words else []
 
 
-def item_groups(items: list[tuple[str, list[bytes]]], width: int, most: int = MOST) -> list[list[tuple[str, list[bytes]]]]:
-    """Items dealt to groups whose windows take about `most` bytes."""
-    out, size = [[]], 0
-    for item in items:
-        n = sum(len(w) + 1 for w in item[1]) * min(width, max(1, len(item[1])))
-        if out[-1] and size + n > most:
-            out.append([])
-            size = 0
-        out[-1].append(item)
-        size += n
-    return [g for g in out if g]
-
-
-def automaton(items: list[tuple[str, list[bytes]]], width: int):
+def automaton(items: list[tuple[str | None, list[bytes]]], width: int):
     """An automaton whose values are (words of the window, numbers of its items), and None if there is no window."""
     import ahocorasick
 
@@ -100,81 +93,98 @@ def byte_spans(raw: bytes, word_runs: list[tuple[int, int]]) -> list[dict[str, i
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings), spans (byte offsets of the hit runs)
-    and contaminated (n_hit > 0 and share * n_hit >= n_words). Every row of docs gives one row."""
-    spark = docs.sparkSession
+class Benchmark:
+    """The items of a benchmark in the shared folder, dealt to groups whose windows take about MOST bytes each."""
+
+    def __init__(self, path: str, groups: int, width: int):
+        self.path, self.groups, self.width = path, groups, width
+
+    def machine(self, group: int) -> tuple:
+        """A group's automaton and the ids of its items. A worker keeps one group's, so a lone one is built once."""
+        if (self.path, group) not in _built:
+            _built.clear()
+            from . import files
+
+            items = sorted(((i, words(t)) for i, t in files.parquet_rows(f"{self.path}/group={group}", ["i", "t"])), key=lambda x: (x[0] or "", x[0] is None, x[1]))
+            _built[self.path, group] = automaton(items, self.width), [i for i, _ in items]
+        return _built[self.path, group]
+
+    def scans(self, raws: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+        """Of each text the number of words, the hit runs of words, and the ids of items hit, sorted."""
+        out: list[tuple[int, list[tuple[int, int]], set]] = [(0, [], set()) for _ in raws]
+        for group in range(self.groups):
+            machine, names = self.machine(group)
+            for k, raw in enumerate(raws):
+                n, found, items = scan(machine, raw)
+                if found and out[k][1]:
+                    hit = np.zeros(n, bool)
+                    for lo, hi in [*found, *out[k][1]]:
+                        hit[lo:hi] = True
+                    found = runs(hit)
+                out[k] = n, found or out[k][1], out[k][2] | {names[i] for i in items if names[i] is not None}
+        return [(n, found, sorted(items)) for n, found, items in out]
+
+
+def load(benchmark: DataFrame, width: int, item_col: str, item_text: str) -> Benchmark:
+    spark = benchmark.sparkSession
     common.prepare(spark)
-    groups = _groups(benchmark, width, item_col, item_text)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for k, group in enumerate(groups):
-        rows = rows.mapInArrow(*_pass(spark.sparkContext.broadcast(group), width, share, not k, k == len(groups) - 1))
-    return rows
+    texts = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
+    # a word of an item stands in `width` windows at most
+    groups = -(-(texts.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()[0] * width) // MOST) or 1
+    path = common.new_folder(spark, "benchmark")
+    texts.withColumn("group", F.pmod(F.xxhash64("i", "t"), F.lit(groups)).cast("int")).repartition(groups, "group").write.partitionBy("group").parquet(path)
+    return Benchmark(path, groups, width)
 
 
-def _groups(benchmark: DataFrame, width: int, item_col: str, item_text: str) -> list[list[tuple[str, list[bytes]]]]:
-    texts = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    items = sorted((r["i"], words(r["t"])) for r in texts.toLocalIterator())
-    return item_groups(items, width) or [[]]
+def gathered(batches, bench: Benchmark, at: int):
+    """Batches, each with its texts as bytes and what bench finds in them; several together where it has several groups."""
+    held, texts, size = [], [], 0
 
+    def flush():
+        found = iter(bench.scans([r for raws in texts for r in raws]))
+        for batch, raws in zip(held, texts, strict=True):
+            yield batch, raws, [next(found) for _ in raws]
 
-def _machine(key: str, group, width: int):
-    if key not in _built:
-        _built.clear()
-        _built[key] = automaton(group.value, width)
-    return _built[key]
+    for batch in batches:
+        data, offs = common.column_bytes(batch.column(at))
+        held.append(batch)
+        texts.append([data[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
+        size += len(data)
+        if bench.groups == 1 or size >= GATHER:
+            yield from flush()
+            held, texts, size = [], [], 0
+    yield from flush()
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs that benchmark_hits wouldn't call contaminated, all columns as they are; no row is shuffled. Where
-    one automaton doesn't hold the benchmark, each slice of texts is scanned by one after the other."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    groups = [(uuid.uuid4().hex, spark.sparkContext.broadcast(g)) for g in _groups(benchmark, width, item_col, item_text)]
+_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS), ("contaminated", pa.bool_())])
 
-    def judge(part, data, offs):
-        found = [{} for _ in range(part.num_rows)]
-        sizes = [0] * part.num_rows
-        for key, group in groups:
-            machine = _machine(key, group, width)
-            for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-                sizes[k], spans, _ = scan(machine, data[a:b].tobytes())
-                for lo, hi in spans:
-                    found[k].update(dict.fromkeys(range(lo, hi)))
-        return [not (f and share * len(f) >= n) for f, n in zip(found, sizes, strict=True)]
 
-    return common.rows_kept(docs, text_col, judge)
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings), spans (byte offsets of the hit runs)
+    and contaminated (n_hit > 0 and share * n_hit >= n_words). Every row of docs gives one row."""
+    bench = load(benchmark, width, item_col, item_text)
 
+    def work(batches):
+        for batch, raws, found in gathered(batches, bench, 1):
+            out = []
+            for d, raw, (n, hit, items) in zip(batch.column(0).to_pylist(), raws, found, strict=True):
+                n_hit = sum(hi - lo for lo, hi in hit)
+                out.append((d, n, n_hit, len(items), items, byte_spans(raw, hit) if hit else [], bool(n_hit and share * n_hit >= n)))
+            if out:
+                yield common.batch_of(_HITS, *zip(*out, strict=True))
 
-def _pass(group, width: int, share: int, begins: bool, ends: bool):
-    key = uuid.uuid4().hex
-    between = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-    last = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS), ("contaminated", pa.bool_())])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(common.lean(work), "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean")
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that benchmark_hits wouldn't call contaminated, all columns as they are; no row is shuffled."""
+    bench = load(benchmark, width, item_col, item_text)
+    at = docs.columns.index(text_col)
 
     def work(batches):
-        machine, names = _machine(key, group, width), [x for x, _ in group.value]
-        for batch in batches:
-            for part, data, offs in common.text_slices(batch, "text"):
-                out = []
-                before = [([], [])] * part.num_rows if begins else list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
-                for d, a, b, (old, who) in zip(part.column(0).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), before, strict=True):
-                    raw = data[a:b].tobytes()
-                    n, found, items = scan(machine, raw)
-                    items = sorted({names[i] for i in items}.union(who))
-                    if old:
-                        hit = np.zeros(n, bool)
-                        for lo, hi in [*found, *zip(old[::2], old[1::2], strict=True)]:
-                            hit[lo:hi] = True
-                        found = runs(hit)
-                    if ends:
-                        n_hit = sum(hi - lo for lo, hi in found)
-                        out.append((d, n, n_hit, len(items), items, byte_spans(raw, found) if found else [], bool(n_hit and share * n_hit >= n)))
-                    else:
-                        out.append((d, raw.decode(), [x for r in found for x in r], items))
-                yield common.batch_of(last if ends else between, *zip(*out, strict=True))
-
-    return work, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean" if ends else "doc_id long, text string, runs array<long>, items array<string>"
-
-
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+        for batch, _, found in gathered(batches, bench, at):
+            n_hit = [sum(hi - lo for lo, hi in hit) for _, hit, _ in found]
+            yield batch.filter(pa.array([not (h and share * h >= n) for h, (n, *_) in zip(n_hit, found, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(common.lean(work), docs.schema)

@@ -39,3 +39,21 @@ def opened(path: str):
 def read(path: str) -> bytes:
     with opened(path) as f:
         return f.read()
+
+
+def names(folder: str) -> list[tuple[str, int]]:
+    """Names and sizes of the files that lie in a folder itself; none where there is no such folder."""
+    store, at = _at(folder)
+    found = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
+    return sorted((f.base_name, f.size) for f in found if f.type == fs.FileType.File)
+
+
+def parquet_rows(folder: str, columns: list[str]):
+    """Rows of the Parquet files that a Spark job has written into a folder; none where there is no such folder."""
+    import pyarrow.parquet as pq
+
+    store, at = _at(folder)
+    for name, _ in names(folder):
+        if name.endswith(".parquet"):
+            for batch in pq.ParquetFile(store.open_input_file(f"{at}/{name}")).iter_batches(columns=columns):
+                yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
