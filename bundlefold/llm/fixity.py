@@ -4,10 +4,14 @@ write_warc writes pages as WARC/1.1 files, a gzip member a record, in the order
 record's file, ordinal, offset and length. An audit hashes, for each replica of a file, the byte range of every record
 (and what follows the last) into leaves, and runs of FAN nodes into the nodes above, each with the range it covers, up
 to one root a file; that happens where the file is read, one task a file. Roots of two replicas are joined, then only
-the children of nodes that differ, level by level, until the damaged records are left.
+the children of nodes that differ, level by level, until the damaged records are left. Bytes that a file has beyond its
+records, and files that the index doesn't know, are told too.
 
 A null page is an empty payload, a null URL leaves its header out, null ids leave theirs out. Repeated rows are records
-each. A file that a replica lacks counts as empty: all of its records differ. An empty table has no files.
+each; pages that share id and URL lie in the order of their html. A long page is a record like any other, held whole by
+one task. A file that a replica lacks counts as empty: all of its records differ, and reading gives records without
+payload that aren't intact, as it does for members that are damaged or cut off. An empty table has no files and gives
+empty results. Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -74,16 +78,15 @@ def write_warc(pages: DataFrame, folder: str, shards: int, file_bytes: int = FIL
             yield from close()
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    ordered = rows.repartitionByRange(shards, "page_id", "url").sortWithinPartitions("page_id", "url")
+    ordered = rows.repartitionByRange(shards, "page_id", "url").sortWithinPartitions("page_id", "url", "html")
     return common.cut(ordered.mapInArrow(common.lean(work), "file string, n_records long, ordinal long, offset long, length long, page_id long"), "warc-index")
 
 
-#: Tasks that files are dealt to: the rows that name them are few and small, so Spark would put them into one.
-TASKS = 4096
-
-
 def _dealt(files: DataFrame, index: DataFrame) -> DataFrame:
-    return files.repartition(max(1, min(TASKS, 3 * index.select("file").distinct().count())), "file")
+    """Files dealt to tasks: the rows that name them are few and small, so Spark would put them into one. Few files have
+    some three tasks each, so that two seldom meet; many have a task for eight."""
+    n = index.select("file").distinct().count()
+    return files.repartition(max(1, min(3 * n, max(4096, n // 8))), "file")
 
 
 def _files(index: DataFrame) -> DataFrame:
@@ -91,37 +94,49 @@ def _files(index: DataFrame) -> DataFrame:
     return _dealt(index.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ordinal", "length"))).alias("records")), index)
 
 
+def parse(member: bytes) -> tuple[int | None, str | None, bytes | None, bool]:
+    """page_id, url, payload and whether it is intact, of one record's gzip member; a damaged one has what could be read."""
+    unpack, text, at = zlib.decompressobj(31), [], 0
+    try:
+        while at < len(member) and not unpack.eof:
+            text.append(unpack.decompress(memoryview(member)[at : at + WINDOW]))
+            at += WINDOW
+        head, _, body = b"".join(text).partition(b"\r\n\r\n")
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+        payload = body[: int(fields[b"Content-Length"])]
+        page, url = fields.get(b"X-Page-ID"), fields.get(b"WARC-Target-URI")
+        whole = unpack.eof and not unpack.unused_data and at >= len(member)
+        digest = f"sha256:{hashlib.sha256(payload).hexdigest()}".encode()
+        return None if page is None else int(page), None if url is None else url.decode(), payload, bool(whole and fields[b"WARC-Payload-Digest"] == digest)
+    except (zlib.error, ValueError, KeyError):
+        return None, None, None, False
+
+
 def read_warc(index: DataFrame, folder: str) -> DataFrame:
-    """Every record of the files of an index: file, ordinal, page_id, url, payload, and whether the payload has the
-    digest that its header gives."""
+    """Every record of an index, as the files in folder have it: file, ordinal, page_id, url, payload, and whether it is
+    intact: a whole member whose payload has the digest that its header gives."""
     common.prepare(index.sparkSession)
 
     def work(batches):
         from . import files
 
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                raw, at, ordinal, out, held = files.read(f"{folder}/{name}"), 0, 0, [], 0
-                while at < len(raw):
-                    unpack, text = zlib.decompressobj(31), b""
-                    while not unpack.eof and at < len(raw):  # a window at a time: what is left over of it is copied
-                        text += unpack.decompress(memoryview(raw)[at : at + WINDOW])
-                        at += min(WINDOW, len(raw) - at) - len(unpack.unused_data)
-                    head, _, body = text.partition(b"\r\n\r\n")
-                    fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
-                    payload = body[: int(fields[b"Content-Length"])]
-                    digest = hashlib.sha256(payload).hexdigest()
-                    page = fields.get(b"X-Page-ID")
-                    url = fields.get(b"WARC-Target-URI")
-                    out.append((name, ordinal, None if page is None else int(page), None if url is None else url.decode(), payload, fields[b"WARC-Payload-Digest"].decode() == f"sha256:{digest}"))
-                    ordinal, held = ordinal + 1, held + len(payload)
-                    if held > common.SLICE_BYTES:
+            for name, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    raw = files.read(f"{folder}/{name}")
+                except FileNotFoundError:
+                    raw = b""
+                at, out, held = 0, [], 0
+                for r in records:
+                    out.append((name, r["ordinal"], *parse(raw[at : at + r["length"]])))
+                    at, held = at + r["length"], held + len(out[-1][4] or b"")
+                    if held > common.SLICE_BYTES or len(out) == 2000:
                         yield common.batch_of(_RECORDS, *zip(*out, strict=True))
                         out, held = [], 0
                 if out:
                     yield common.batch_of(_RECORDS, *zip(*out, strict=True))
 
-    return _dealt(index.select("file").distinct(), index).mapInArrow(common.lean(work), "file string, ordinal long, page_id long, url string, payload binary, intact boolean")
+    return _files(index).mapInArrow(common.lean(work), "file string, ordinal long, page_id long, url string, payload binary, intact boolean")
 
 
 def copy_replica(index: DataFrame, source: str, target: str, damaged: str = "false") -> DataFrame:
@@ -196,13 +211,36 @@ def differing_ranges(index: DataFrame, left: DataFrame, right: DataFrame) -> Dat
     for k in range(height, -1, -1):
         roots = tops.where(F.col("top") == k).select("file", F.lit(0).cast("long").alias("node"))
         ask = roots if found is None else roots.unionByName(found.select("file", F.explode(F.sequence(F.col("node") * FAN, F.col("node") * FAN + FAN - 1)).alias("node")))
-        a, b = pick(left, k), pick(right, k).select("file", "node", F.col("hash").alias("other"))
+        a, b = pick(left, k), pick(right, k).select("file", "node", F.col("hash").alias("other"), F.col("end").alias("other_end"))
         found = ask.join(a, ["file", "node"]).join(b, ["file", "node"], "left").where("other is null or hash <> other")
-    return found.select("file", F.col("node").alias("ordinal"), "start", "end")
+    return found.select("file", F.col("node").alias("ordinal"), "start", F.greatest("end", "other_end").alias("end"))
+
+
+def strays(index: DataFrame, folder: str) -> DataFrame:
+    """file and n_bytes of the files in folder that an index doesn't know."""
+
+    def work(batches):
+        from . import files
+
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                found = files.names(at)
+                for lo in range(0, len(found), 10_000):
+                    name, size = zip(*found[lo : lo + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(size, pa.int64())], ["file", "n_bytes"])
+
+    listed = index.sparkSession.createDataFrame([(folder,)], "folder string").mapInArrow(work, "file string, n_bytes long")
+    return listed.join(index.select("file").distinct(), "file", "left_anti").where("not startswith(file, '.') and not startswith(file, '_')")
 
 
 def audit(index: DataFrame, left_folder: str, right_folder: str) -> DataFrame:
-    """Every record of an index with whether two replicas of it differ: page_id, file, ordinal, offset, length, damaged."""
+    """Every record of an index with whether two replicas of it differ: page_id, file, ordinal, offset, length, damaged.
+    Damaged rows without a page id tell what only one replica has: what follows the last record of a file (its ordinal is
+    the number of records), and whole files (without an ordinal)."""
     found = differing_ranges(index, replica_trees(index, left_folder), replica_trees(index, right_folder))
-    hurt = found.select("file", "ordinal", F.lit(True).alias("damaged"))
-    return index.join(hurt, ["file", "ordinal"], "left").select("page_id", "file", "ordinal", "offset", "length", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    hurt = found.select("file", "ordinal", F.lit(True).alias("damaged"), "start", "end")
+    records = index.select("file", "ordinal", "page_id", "offset", "length").join(hurt, ["file", "ordinal"], "full")
+    told = records.select("page_id", "file", "ordinal", F.coalesce("offset", "start").alias("offset"), F.coalesce("length", F.col("end") - F.col("start")).alias("length"), F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    extra = strays(index, left_folder).unionAll(strays(index, right_folder)).groupBy("file").agg(F.max("n_bytes").alias("n"))
+    null = F.lit(None).cast("long")
+    return told.unionByName(extra.select(null.alias("page_id"), "file", null.alias("ordinal"), F.lit(0).cast("long").alias("offset"), F.col("n").alias("length"), F.lit(True).alias("damaged")))
