@@ -101,7 +101,7 @@ def gram_sets(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     continue
                 k1, k2 = (k.view(np.int64)[has] for k in sequence_keys(hashes, words.first))
                 sig = _signature(grams, first[:-1][has], bands, rows)
-                sets = [np.unique(grams[first[i] : first[i + 1]]).view(np.int64) for i in has]
+                sets = [common.distinct(grams[first[i] : first[i + 1]]).view(np.int64) for i in has]
                 cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 yield common.batch_of(_SETS, part.column(0).take(pa.array(has)), k1, k2, common.ragged(sig.ravel().view(np.int64), np.arange(len(has) + 1) * bands, pa.int64()), common.ragged(np.concatenate(sets), cuts, pa.int64()))
 
