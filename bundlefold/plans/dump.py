@@ -63,6 +63,17 @@ def summary(dumped: DataFrame) -> DataFrame:
     )
 
 
+def archive_summary(spark: SparkSession, archive: str) -> DataFrame:
+    """The same row for an archive of any size: its tables are added up, not gathered."""
+    table = lambda name: read_container(spark, archive, name).drop("archive")
+    heads = table("header").withColumn("feature_flags", flag_names("feature_flags_bits", FEATURE_FLAGS))
+    add = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    frames = table("frames").agg(F.count("*").alias("frame_count"), add("raw_len", "total_frame_raw_bytes"), add("encoded_len", "total_frame_encoded_bytes"))
+    trailer = table("trailer").agg((F.count("*") > 0).alias("has_trailer"))
+    h = "version_major version_minor data_codec manifest_codec integrity_mode frame_hash_algo manifest_hash_algo feature_flags entry_count extent_count bundle_count manifest_raw_len manifest_encoded_len".split()
+    return heads.join(frames, F.lit(True)).join(trailer, F.lit(True)).select(F.lit(os.path.getsize(archive)).cast("long").alias("archive_bytes"), *h, "frame_count", "total_frame_raw_bytes", "total_frame_encoded_bytes", "has_trailer")  # one row each
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One row as an indented JSON file, nulls written out."""
     text = df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})).first()[0]

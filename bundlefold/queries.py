@@ -15,7 +15,7 @@ from .operators import paths as path_ops
 from .operators import planner
 from .operators.numbering import with_entry_ids, with_hardlinks
 from .plans import pack as pack_plan
-from .plans import report, stats, unpack, workload
+from .plans import report, unpack, workload
 from .schemas import BUNDLE_KIND, DATA_CODEC, ENTRY_FLAGS, EXTENT_FLAGS, FEATURE_FLAGS, INTEGRITY_MODE
 from .sources import layout
 from .sources.virtual import document_tree, order_tree, place_tree
@@ -302,22 +302,31 @@ def round_trip(spark, d):
     return files.join(e, "entry_id").select(_path().alias("path"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-@query(f"WITH RECURSIVE {_DOCS}, {_PLAN} SELECT bundle_id, {_B('sum(raw_len)', 'raw_len')}, {_B('count(*)', 'extents')}, {_B('min(entry_id)', 'first_entry')}, true AS coded_shorter FROM extents GROUP BY bundle_id")
+@query(f"WITH RECURSIVE {_DOCS}, {_PLAN} SELECT bundle_id, {_B('sum(raw_len)', 'raw_len')}, {_B('count(*)', 'extents')}, {_B('min(entry_id)', 'first_entry')} FROM extents GROUP BY bundle_id")
 def frames_with_extents(spark, d):
     """Frames with the list of their extents, a left join on the bundle."""
     _, x, frames = _frames(spark, d)
     j = frame_ops.with_extents(frames, x)
-    return j.select("bundle_id", "raw_len", F.size("extents").cast("long").alias("extents"), F.array_min(F.col("extents.entry_id")).alias("first_entry"), (F.col("encoded_len") < F.col("raw_len") + 32).alias("coded_shorter"))
+    return j.select("bundle_id", "raw_len", F.size("extents").cast("long").alias("extents"), F.array_min(F.col("extents.entry_id")).alias("first_entry"))
 
 
-@query(f"WITH RECURSIVE {_DOCS}, {_PLAN} SELECT {_B('count(DISTINCT bundle_id)', 'bundle_count')}, {_B('sum(raw_len)', 'total_raw_bytes')}, true AS matches, 64 AS digest_digits FROM extents")
+@query(f"""WITH RECURSIVE {_DOCS}, {_PLAN}, t AS (SELECT {_B('count(DISTINCT bundle_id)', 'bundle_count')}, {_B('sum(raw_len)', 'total_raw_bytes')} FROM extents)
+SELECT change, bundle_count, total_raw_bytes, change = 'none' AS matches FROM t, (VALUES ('none'), ('one hash'), ('two swapped'), ('one frame less'), ('raw bytes'), ('encoded bytes')) c(change)""")
 def trailer_check(spark, d):
-    """The trailer of the frames, and whether it matches them: counts, bytes and the digest of all hashes."""
-    _, _, frames = _frames(spark, d, "lz4")
-    n, raw, enc = frames.agg(F.count("*"), F.sum("raw_len"), F.sum("encoded_len")).first()
-    digest = frame_ops.archive_digest(frames).hex()
-    ok = frame_ops.trailer_matches(frames, {"bundle_count": n, "total_raw_bytes": raw, "total_encoded_bytes": enc, "archive_hash_hex": digest})
-    return spark.createDataFrame([(n, raw, ok, len(digest))], "bundle_count long, total_raw_bytes long, matches boolean, digest_digits int")
+    """The trailer that a container holds, against its frames as they are and changed in several ways."""
+    from .sources.container import read_container
+
+    path = _container(spark, d, integrity="strong")
+    frames, trailer = keep(read_container(spark, path, "frames").select("bundle_id", "raw_len", "encoded_len", "frame_hash"), "frames"), read_container(spark, path, "trailer").first().asDict()
+    last = F.col("bundle_id") == trailer["bundle_count"] - 1
+    swapped = F.when(F.col("bundle_id") < 2, 1 - F.col("bundle_id")).otherwise(F.col("bundle_id"))
+    changed = {
+        "none": (frames, trailer), "one hash": (frames.withColumn("frame_hash", F.when(last, F.col("frame_hash").bitwiseXOR(1)).otherwise(F.col("frame_hash"))), trailer),
+        "two swapped": (frames.withColumn("bundle_id", swapped), trailer), "one frame less": (frames.where(~last), trailer),
+        "raw bytes": (frames, trailer | {"total_raw_bytes": trailer["total_raw_bytes"] + 1}), "encoded bytes": (frames, trailer | {"total_encoded_bytes": trailer["total_encoded_bytes"] - 1}),
+    }
+    rows = [(name, trailer["bundle_count"], trailer["total_raw_bytes"], frame_ops.trailer_matches(f, t)) for name, (f, t) in changed.items()]
+    return spark.createDataFrame(rows, "change string, bundle_count long, total_raw_bytes long, matches boolean")
 
 
 @query()
@@ -426,28 +435,46 @@ def workload_summary(spark, d):
     return p.agg(F.count("*").alias("package_count"), F.max("depth").alias("max_package_depth")).join(folders.agg(F.count("*").alias("directory_count")), F.lit(True))  # one row each
 
 
-@query("SELECT * FROM (VALUES ('directory_count', 30000::BIGINT, 29000::BIGINT), ('regular_file_count', 9::BIGINT, 8::BIGINT)) t(term, expected, found)")
+@query(f"""WITH RECURSIVE {_PACKAGES}, dirs AS (SELECT index, 'node_modules/' || name AS dir FROM nm WHERE parent IS NULL UNION ALL SELECT n.index, dirs.dir || '/node_modules/' || n.name FROM nm n JOIN dirs ON n.parent = dirs.index),
+c AS (SELECT string_split(dir || '/x', '/') AS c FROM dirs), a AS (SELECT DISTINCT array_to_string(list_slice(c, 1, k), '/') AS x FROM (SELECT c, unnest(range(0, len(c))) AS k FROM c)),
+orders_now AS (SELECT count(*) AS n FROM orders),
+f AS (SELECT (SELECT count(*) FROM nm) AS package_count, (SELECT n FROM orders_now) AS regular_file_count, (SELECT max(depth) FROM nm) AS max_package_depth, (SELECT count(*) FROM a) AS directory_count),
+t AS (SELECT 'package_count' AS term, 10560 AS expected, package_count AS found, package_count = 10560 AS kept FROM f UNION ALL SELECT 'regular_file_count', 105601, regular_file_count, regular_file_count = 105601 FROM f
+  UNION ALL SELECT 'max_package_depth', 5, max_package_depth, max_package_depth = 5 FROM f UNION ALL SELECT 'directory_count', 29040, directory_count, directory_count >= 29040 FROM f)
+SELECT term, CAST(expected AS BIGINT) AS expected, CAST(found AS BIGINT) AS found FROM t WHERE NOT kept""")
 def contract_check(spark, d):
-    summary = spark.createDataFrame([(3, 8, 2, 29000)], "package_count long, regular_file_count long, max_package_depth int, directory_count long")
-    return workload.broken_terms(summary, {"package_count": 3, "regular_file_count": 9, "max_package_depth": 2, "min_directory_count": 30000})
+    """The terms of a contract that the generated packages' folders, with as many files as there are orders, don't keep."""
+    found = workload_summary(spark, d).withColumn("regular_file_count", F.lit(table(spark, d, "orders").count()))
+    return workload.broken_terms(found, {"package_count": 10560, "regular_file_count": 105601, "max_package_depth": 5, "min_directory_count": 29040})
 
 
 # -- containers and streams ------------------------------------------------------------------------------------------
 
 
-def _container(spark, d, **how) -> str:
+_made: dict[tuple, tuple[str, dict]] = {}
+
+
+def _packed(spark, d, **how) -> tuple[str, dict]:
+    """A container of the documents' tree, made once a session, and the statistics of packing it."""
     import os
     import uuid
 
     from .tables import shared_folder
 
-    folder = shared_folder(spark).removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    path = f"{folder}/archive-{uuid.uuid4().hex}"
-    e = keep(_docs(spark, d, text=True), "entries")
-    contents = e.where(planner.carries_data()).select("entry_id", F.col("text").cast("binary").alias("content"))
-    pack_plan.pack(spark, e, path, PackConfig(bundle_target_bytes=TARGET, small_file_threshold=THRESHOLD, threads=4, **how), contents)
-    return path
+    key = (spark.sparkContext.applicationId, d, *sorted(how.items()))
+    if key not in _made:
+        folder = shared_folder(spark).removeprefix("file://")
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/archive-{uuid.uuid4().hex}"
+        e = keep(_docs(spark, d, text=True), "entries")
+        contents = e.where(planner.carries_data()).select("entry_id", F.col("text").cast("binary").alias("content"))
+        said = pack_plan.pack(spark, e, path, PackConfig(bundle_target_bytes=TARGET, small_file_threshold=THRESHOLD, threads=4, **how), contents)
+        _made[key] = path, said.first().asDict()
+    return _made[key]
+
+
+def _container(spark, d, **how) -> str:
+    return _packed(spark, d, **how)[0]
 
 
 @query(f"WITH {_DOCS} SELECT entry_id, parent_id, path, kind, size, master AS hardlink_master_entry_id FROM told")
@@ -459,43 +486,178 @@ def container_entries(spark, d):
     return entry_rows(read_container(spark, _container(spark, d), "entries").drop("archive")).select("entry_id", "parent_id", "path", "kind", "size", "hardlink_master_entry_id")
 
 
-@query(f"WITH RECURSIVE {_DOCS}, {_PLAN} SELECT bundle_id, {_B('sum(raw_len)', 'raw_len')} FROM extents WHERE bundle_id BETWEEN 3 AND 20 GROUP BY bundle_id")
+@query(f"WITH RECURSIVE {_DOCS}, {_PLAN} SELECT bundle_id, {_B('sum(raw_len)', 'raw_len')} FROM extents GROUP BY bundle_id")
 def container_frames(spark, d):
-    """Frames of some bundles, read back from a container."""
+    """Frames of all bundles, read back from a container."""
     from .sources.container import read_container
 
-    return read_container(spark, _container(spark, d, integrity="strong"), "frames").where("bundle_id between 3 and 20").select("bundle_id", "raw_len")
+    return read_container(spark, _container(spark, d, integrity="strong"), "frames").select("bundle_id", "raw_len")
 
 
-@query()
+_COUNTED = f"""SELECT {_B("(SELECT count(*) FROM told)", "entry_count")}, {_B("(SELECT count(*) FROM extents)", "extent_count")}, {_B("(SELECT count(DISTINCT bundle_id) FROM extents)", "bundle_count")}, {_B("(SELECT sum(raw_len) FROM extents)", "raw_bytes")}"""
+
+
+@query(f"WITH RECURSIVE {_DOCS}, {_PLAN}, n AS ({_COUNTED}) SELECT 1 AS version_major, 'zstd' AS data_codec, 'strong' AS integrity_mode, entry_count, extent_count, bundle_count, bundle_count AS frame_count, raw_bytes AS total_frame_raw_bytes, true AS has_trailer, true AS adds_up FROM n")
 def container_dump(spark, d):
-    """The one-row summary of a container's dump; encoded sizes depend on the codec's build."""
-    from .plans.dump import dump, summary
+    """The one-row summary of a container's dump; encoded sizes, which depend on the codec's build, have to add up to the file's."""
+    from .plans.dump import archive_summary
 
-    return summary(dump(spark, _container(spark, d, integrity="strong"))).drop("feature_flags")
+    r = archive_summary(spark, _container(spark, d, integrity="strong"))
+    parts = F.lit(layout.HEADER_LEN + layout.TRAILER_LEN) + F.col("manifest_encoded_len") + F.col("total_frame_encoded_bytes") + F.col("frame_count") * layout.FRAME_LEN
+    return r.select("version_major", "data_codec", "integrity_mode", "entry_count", "extent_count", "bundle_count", "frame_count", "total_frame_raw_bytes", "has_trailer", (F.col("archive_bytes") == parts).alias("adds_up"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_DOCS}, {_PLAN} SELECT t.path AS entry_path, x.entry_id, bundle_id, file_offset, raw_offset_in_bundle, raw_len FROM extents x JOIN told t USING (entry_id)")
+def dump_file(spark, d):
+    """Extents as the JSON file of a dump tells them."""
+    import uuid
+
+    from .plans.dump import dump, write_json
+    from .tables import shared_folder
+
+    told = dump(spark, _container(spark, d, integrity="strong"))
+    path = f"{shared_folder(spark).removeprefix('file://')}/dump-{uuid.uuid4().hex}.json"
+    write_json(told, path)
+    rows = spark.read.schema(told.schema).json(f"file://{path}", multiLine=True).select(F.explode("manifest.extents").alias("x"))
+    return rows.select("x.entry_path", "x.entry_id", "x.bundle_id", "x.file_offset", "x.raw_offset_in_bundle", "x.raw_len")
+
+
+@query(f"WITH RECURSIVE {_DOCS}, {_PLAN} SELECT 'archive' AS archive, {_B('count(DISTINCT bundle_id)', 'frames')}, {_B('sum(raw_len)', 'raw_bytes')}, true AS matches_trailer FROM extents")
 def stream_totals(spark, d):
-    """Totals of a stream of a container's frames, after all have come."""
+    """Totals and digest of a stream of a container's frames, after all have come, against its trailer."""
     import uuid
 
-    from .streaming.frames import frame_stream, running_totals
+    from .sources.container import read_container
+    from .streaming.frames import frame_stream, running_trailers
     from .tables import shared_folder
 
-    name = f"totals_{uuid.uuid4().hex}"
-    totals = running_totals(frame_stream(spark, _container(spark, d)).withColumn("archive", F.lit("archive")))
+    name, path = f"totals_{uuid.uuid4().hex}", _container(spark, d, integrity="strong")
+    totals = running_trailers(frame_stream(spark, path).withColumn("archive", F.lit("archive")))
     q = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(processingTime="0 seconds").start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    return spark.table(name)
+    t = read_container(spark, path, "trailer").first()
+    same = (F.col("archive_hash_hex") == t["archive_hash_hex"]) & (F.col("encoded_bytes") == t["total_encoded_bytes"])
+    return spark.table(name).select("archive", "frames", "raw_bytes", same.alias("matches_trailer"))
 
 
-@query()
+# -- packing and restoring, whole ------------------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {_DOCS}, {_PLAN}, n AS ({_COUNTED}) SELECT 'zstd' AS codec, 4 AS threads, {TARGET} AS bundle_target_bytes, {THRESHOLD} AS small_file_threshold, entry_count, bundle_count, raw_bytes, true AS size_is_the_file_s FROM n")
 def pack_statistics(spark, d):
-    """The statistics of a dry run over the documents' tree, as the summary for people."""
-    r = pack_plan.tree_totals(document_tree(table(spark, d, "documents"))).first()
-    row = stats.pack_stats(spark, {"codec": "zstd", "threads": 1, "bundle_target_bytes": TARGET, "small_file_threshold": THRESHOLD, "entry_count": r["entry_count"], "bundle_count": 1, "raw_bytes": r["raw_bytes"], "encoded_bytes": 0, "duration_ms": 1000}, None)
-    return stats.summary_text(row, "Pack Summary")
+    """The statistics of packing the documents' tree; the encoded size has to be that of the file."""
+    import os
+
+    path, said = _packed(spark, d)
+    names = ("codec", "threads", "bundle_target_bytes", "small_file_threshold", "entry_count", "bundle_count", "raw_bytes")
+    rows = [(*(said[n] for n in names), said["encoded_bytes"] == os.path.getsize(path))]
+    return spark.createDataFrame(rows, "codec string, threads long, bundle_target_bytes long, small_file_threshold long, entry_count long, bundle_count long, raw_bytes long, size_is_the_file_s boolean")
+
+
+def _restored(spark, d, how: str) -> tuple[str, dict, dict]:
+    """A folder that a container was restored to, the run's statistics and its counters."""
+    import os
+    import uuid
+
+    from .tables import shared_folder
+
+    path, counters = _container(spark, d, integrity="strong"), {}
+    to = f"{shared_folder(spark).removeprefix('file://')}/restored-{uuid.uuid4().hex}"
+    if how == "stream":
+        with open(path, "rb") as f:
+            said = unpack.unpack_stream(spark, f, to).first().asDict()
+    else:
+        os.environ[unpack.DIAGNOSTICS_ENV] = f"{to}.json"
+        try:
+            said = unpack.unpack(spark, path, to, counters=counters).first().asDict()
+        finally:
+            del os.environ[unpack.DIAGNOSTICS_ENV]
+    return to, said, counters
+
+
+def _contents(scan: DataFrame, root: str) -> DataFrame:
+    """entry_id and sha256 of the files below root."""
+    import hashlib
+    import os
+
+    import pyarrow as pa
+
+    schema = pa.schema([("entry_id", pa.int64()), ("sha256", pa.string())])
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for entry_id, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with open(os.path.join(os.fsencode(root), name), "rb") as f:
+                    out.append({"entry_id": entry_id, "sha256": hashlib.file_digest(f, "sha256").hexdigest()})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return scan.where("kind in ('regular', 'hardlink')").select("entry_id", "relative_path").mapInArrow(work, "entry_id long, sha256 string")
+
+
+@query(f"""WITH {_DOCS} SELECT entry_id, parent_id, path, t.kind, size, master AS hardlink_master_entry_id, CASE WHEN id IS NOT NULL THEN sha256(coalesce(text, '')) END AS sha256,
+  CASE WHEN t.kind = 'regular' THEN 1700000000 + id WHEN t.kind = 'directory' THEN 0 END AS mtime_sec, CASE t.kind WHEN 'root' THEN NULL WHEN 'directory' THEN '0o40755' ELSE '0o100644' END AS mode
+FROM told t LEFT JOIN documents ON id = doc_id""")
+def restored_tree(spark, d):
+    """The documents' tree packed, restored into a folder, and scanned again: kinds, hard links, contents, times and modes."""
+    from .sources.tree import read_tree
+
+    to, *_ = _restored(spark, d, "file")
+    e = keep(with_hardlinks(with_entry_ids(read_tree(spark, to))), "entries")
+    own = F.col("kind") != "root"  # its metadata aren't restored
+    mtime = F.when(own & (F.col("kind") != "hardlink"), F.col("mtime_sec"))
+    return e.join(_contents(e, to), "entry_id", "left").select("entry_id", "parent_id", _path().alias("path"), "kind", "size", "hardlink_master_entry_id", "sha256", mtime.alias("mtime_sec"), F.when(own, C.octal_mode("mode")).alias("mode"))
+
+
+_RESTORED = "SELECT 'regular_finalize_count' AS counter, count(*) FILTER (kind = 'regular') AS n FROM told UNION ALL SELECT 'dir_finalize_count', count(*) FILTER (kind = 'directory') FROM told UNION ALL SELECT 'hardlink_create_count', count(*) FILTER (kind = 'hardlink') FROM told UNION ALL SELECT 'file_create_count', count(*) FILTER (kind = 'regular') FROM told"
+
+
+@query(f"""WITH RECURSIVE {_DOCS}, {_PLAN}, n AS ({_RESTORED} UNION ALL SELECT 'extents_written', count(*) FROM extents UNION ALL SELECT 'bytes_written', sum(raw_len) FROM extents
+  UNION ALL SELECT 'bundles_observed', count(DISTINCT bundle_id) FROM extents UNION ALL SELECT 'total_bundle_extents', count(*) FROM extents UNION ALL SELECT 'total_bundle_unique_entries', sum(u) FROM (SELECT count(DISTINCT entry_id) AS u FROM extents GROUP BY bundle_id)
+  UNION ALL SELECT 'max_bundle_extent_count', max(u) FROM (SELECT count(*) AS u FROM extents GROUP BY bundle_id) UNION ALL SELECT 'max_bundle_unique_entries', max(u) FROM (SELECT count(DISTINCT entry_id) AS u FROM extents GROUP BY bundle_id)
+  UNION ALL SELECT 'symlink_create_count', 0 UNION ALL SELECT 'trailer_verify_count', 1) SELECT counter, CAST(n AS BIGINT) AS n FROM n""")
+def restore_counters(spark, d):
+    """What a run of unpack counted, as its diagnostics file tells it."""
+    to, *_ = _restored(spark, d, "file")
+    told = spark.read.json(f"file://{to}.json", multiLine=True).select("diagnostics.*")
+    names = "regular_finalize_count dir_finalize_count hardlink_create_count file_create_count extents_written bytes_written bundles_observed total_bundle_extents total_bundle_unique_entries max_bundle_extent_count max_bundle_unique_entries symlink_create_count trailer_verify_count".split()
+    group = {n: g for g, ns in unpack.DIAGNOSTICS.items() for n in ns.split()}
+    return told.select(F.explode(F.array(*[F.struct(F.lit(n).alias("counter"), F.col(f"{group[n]}.{n}").cast("long").alias("n")) for n in names])).alias("c")).select("c.*")
+
+
+@query(f"WITH RECURSIVE {_DOCS}, {_PLAN}, n AS ({_COUNTED}) SELECT 'zstd' AS codec, entry_count, bundle_count, raw_bytes, {_B('(SELECT count(*) FROM told)', 'found_entries')}, {_B('(SELECT count(*) FROM told WHERE id IS NOT NULL)', 'found_files')}, {_B('(SELECT count(*) FROM told WHERE id IS NULL)', 'found_folders')}, {_B('(SELECT sum(size) FROM told)', 'found_bytes')} FROM n")
+def restored_stream(spark, d):
+    """The statistics of restoring a container that is read as a stream, and the totals of the folder it leaves."""
+    from .sources.tree import read_tree
+
+    to, said, _ = _restored(spark, d, "stream")
+    t = pack_plan.tree_totals(read_tree(spark, to)).first()
+    return spark.createDataFrame([(said["codec"], said["entry_count"], said["bundle_count"], said["raw_bytes"], t["entry_count"], t["regular_file_count"], t["directory_count"], t["raw_bytes"])], "codec string, entry_count long, bundle_count long, raw_bytes long, found_entries long, found_files long, found_folders long, found_bytes long")
+
+
+@query("SELECT r_name || '/' || n_name AS path, 'symlink' AS kind, '../' || n_nationkey || '/' || n_name AS target FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'directory', NULL FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def symbolic_links(spark, d):
+    """Symbolic links made and scanned again: their targets' bytes, without following them."""
+    import uuid
+
+    from .operators import restore
+    from .sources.tree import read_tree
+    from .tables import shared_folder
+
+    to = f"{shared_folder(spark).removeprefix('file://')}/links-{uuid.uuid4().hex}"
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = n.select(F.array(F.col("r_name").cast("binary"), F.col("n_name").cast("binary")).alias("components"), F.concat(F.lit("../"), F.col("n_nationkey").cast("string"), F.lit("/"), F.col("n_name")).cast("binary").alias("link_target"))
+    restore.make_folders(rows.select(F.slice("components", 1, 1).alias("components"), F.lit(1).alias("depth")).distinct(), to)
+    restore.make_symlinks(rows, to)
+    return read_tree(spark, to).where("kind <> 'root'").select(_path().alias("path"), "kind", C.lossy_utf8("symlink_target").alias("target"))
+
+
+@query(f"WITH RECURSIVE {_DOCS}, {_PLAN}, n AS ({_COUNTED}) SELECT 'zstd' AS data_codec, 'zstd' AS manifest_codec, 'strong' AS integrity_mode, 4 AS suggested_parallelism, {TARGET} AS bundle_target_bytes, {THRESHOLD} AS small_file_threshold, entry_count, extent_count, bundle_count FROM n")
+def container_header(spark, d):
+    """The header that a container holds."""
+    from .sources.container import read_container
+
+    return read_container(spark, _container(spark, d, integrity="strong"), "header").select("data_codec", "manifest_codec", "integrity_mode", "suggested_parallelism", "bundle_target_bytes", "small_file_threshold", "entry_count", "extent_count", "bundle_count")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codecs
 from ..sources.container import ContainerSource
 
 
@@ -20,6 +21,19 @@ def running_totals(frames: DataFrame) -> DataFrame:
     return frames.groupBy("archive").agg(F.count("*").alias("frames"), F.sum("raw_len").alias("raw_bytes"), F.sum("encoded_len").alias("encoded_bytes"))
 
 
+def running_trailers(frames: DataFrame) -> DataFrame:
+    """Totals so far and the digest of all frames' hashes, by archive: what a trailer holds, for streams and tables. The
+    state keeps 16 bytes a frame."""
+
+    @F.udf("string", useArrow=True)
+    def digest(hashes):
+        return codecs.archive_digest_of([h["frame_hash"] for h in hashes]).hex()
+
+    ordered = F.array_sort(F.collect_list(F.struct("bundle_id", "frame_hash"))).alias("hashes")
+    totals = frames.groupBy("archive").agg(F.count("*").alias("frames"), F.sum("raw_len").alias("raw_bytes"), F.sum("encoded_len").alias("encoded_bytes"), ordered)
+    return totals.select("archive", "frames", "raw_bytes", "encoded_bytes", digest("hashes").alias("archive_hash_hex"))
+
+
 def arrivals(spark: SparkSession, folder: str, files_per_trigger: int = 8) -> DataFrame:
     """Files that arrive in a folder: path, length and time."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(folder)
