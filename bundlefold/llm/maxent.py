@@ -14,8 +14,14 @@ the feature; two rounds cover every training text once. P(token | class) is a so
 optimum is known: (count + 0.1) / (class tokens + 0.1 * (class types + 1)), the last for tokens never seen.
 
 What goes to the driver or to every task has a fixed size (HEAD, CLASSES, FEATURES); the counts themselves stay in a
-table, and rarer words meet their counts in a join. Null texts are empty: the end token only. Repeated rows are scored
-each. Rows with a null id count as held out.
+table that grows with the corpus, and rarer words meet their counts in a join. So the histories' weights have a fixed
+capacity at every size (the README gives held-out figures at growing sizes), and no feature of the history reaches below
+the class. Classes are fitted on the 8,192 most frequent ids; any other id is put into the nearest.
+
+Null and empty texts have the end token only. Very long texts are read whole, a slice of their own. Repeated rows count and
+are scored each. Rows with a null id count as held out, as they have no remainder and must not be learned from. Words that
+tie for the last place among the HEAD stay out together. An empty table gives an empty result; without training texts
+every token is unknown. Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ FEATURES, PARTS = 1 << 16, 64
 #: The end token's hash: no word's, as words are hashed with their lengths (and if one had it, it would count as the end).
 END = U(0x5DEECE66D1234567)
 _FLUSH = 1 << 21
+#: Counts below which a word's rank is told exactly; above, in 64 steps to each doubling.
+EXACT = 4096
 _COUNTS = pa.schema([("h", pa.int64()), ("tail", pa.int32()), ("n", pa.int64())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_log", pa.float64()), ("known", pa.int64()), ("ids", pa.binary()), ("tail", pa.list_(pa.int64()))])
 _BLOB = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
@@ -157,8 +165,25 @@ def hashed(before: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
     return [(mix(x) % U(FEATURES)).astype(np.int64) for x in (a | U(1 << 40), (a << U(16)) | b | U(2 << 40), b | U(3 << 40))]
 
 
-def sum_blobs(rows: DataFrame, kind: str) -> dict[int, np.ndarray]:
-    """Adds up blobs part by part: in the tasks first, one running sum a part. The result has a fixed size."""
+def frequent(counts: DataFrame, most: int) -> list:
+    """The most frequent words, `most` at most, the end token first: h and n by falling n and rising h. Words that tie (or,
+    above EXACT, are nearly as frequent) stay out together where they don't all fit. The driver is sent a histogram of
+    bounded size and the words themselves, never `most` words of each task."""
+    level = F.when(F.col("n") < EXACT, F.col("n")).otherwise(EXACT + F.floor(F.log2(F.col("n") / EXACT) * 64)).cast("long")
+    end = F.col("h") == int(END.astype(np.int64))
+    at, left = 0, most - 1
+    for r in counts.where(~end).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # EXACT + 64 * 64 rows at most
+        left -= r["count"]
+        if left < 0:
+            at = r["level"]
+            break
+    chosen = counts.where(end | (level > at)).select("h", "n").collect()
+    return sorted(chosen, key=lambda r: (r["h"] != int(END.astype(np.int64)), -r["n"], r["h"]))
+
+
+def sum_blobs(rows: DataFrame, kind: str, tasks: int) -> dict[int, np.ndarray]:
+    """Adds up blobs part by part, in a tree: `tasks` tasks in groups of about the square root of their number, then the
+    groups; each step keeps one running sum a part. The result has a fixed size."""
 
     def work(batches):
         total: dict[int, np.ndarray] = {}
@@ -169,6 +194,10 @@ def sum_blobs(rows: DataFrame, kind: str) -> dict[int, np.ndarray]:
         for p, x in total.items():
             yield common.batch_of(_BLOB, [p], [x.tobytes()])
 
+    groups = int(np.ceil(np.sqrt(tasks)))
+    if groups > 2:
+        group = F.pmod(F.spark_partition_id(), F.lit(groups))
+        rows = rows.withColumn("group", group).repartition(PARTS * groups, "part", "group").drop("group").mapInArrow(common.lean(work), "part int, blob binary")
     got = rows.repartition(PARTS, "part").mapInArrow(common.lean(work), "part int, blob binary").collect()
     return {r["part"]: np.frombuffer(r["blob"], kind) for r in got}
 
@@ -189,7 +218,7 @@ def _joined(parts: dict[int, np.ndarray], rows: int, width: int) -> np.ndarray:
     return out[:rows]
 
 
-def neighbour_counts(ids: DataFrame) -> np.ndarray:
+def neighbour_counts(ids: DataFrame, tasks: int = 1) -> np.ndarray:
     """How often each id follows an id of each of CONTEXTS hashed contexts."""
 
     def work(batches):
@@ -201,7 +230,7 @@ def neighbour_counts(ids: DataFrame) -> np.ndarray:
                 total[at] += n
         yield from _blobs(total.reshape(IDS, CONTEXTS))
 
-    return _joined(sum_blobs(ids.select("ids").mapInArrow(common.lean(work), "part int, blob binary"), "<f4"), IDS, CONTEXTS)
+    return _joined(sum_blobs(ids.select("ids").mapInArrow(common.lean(work), "part int, blob binary"), "<f4", tasks), IDS, CONTEXTS)
 
 
 def cluster(counts: np.ndarray, classes: int = CLASSES, rounds: int = 20) -> np.ndarray:
@@ -242,7 +271,7 @@ def log_softmax(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
     return z
 
 
-def gradient_round(ids: DataFrame, shared, step: int, rate: float = 0.7) -> np.ndarray:
+def gradient_round(ids: DataFrame, shared, step: int, rate: float = 0.7, tasks: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights after each task's Adagrad over its texts, averaged by how often tasks met each feature."""
 
     def work(batches):
@@ -269,7 +298,7 @@ def gradient_round(ids: DataFrame, shared, step: int, rate: float = 0.7) -> np.n
             yield from _blobs(np.concatenate([weights * met[:, None], squares * (met > 0)[:, None], met[:, None]], axis=1))
 
     width = 2 * CLASSES + 1
-    total = _joined(sum_blobs(ids.select("ids").mapInArrow(common.lean(work), "part int, blob binary"), "<f4"), FEATURES, width)
+    total = _joined(sum_blobs(ids.select("ids").mapInArrow(common.lean(work), "part int, blob binary"), "<f4", tasks), FEATURES, width)
     met = total[:, -1:]
     old = shared.value
     weights = np.where(met > 0, total[:, :CLASSES] / np.maximum(met, 1), old[0]).astype(np.float32)
@@ -287,18 +316,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     counts = common.cut(word_counts(rows.where(~F.col("held_out")).select("text")), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(END.astype(np.int64))
-    top = counts.orderBy((F.col("h") == end).desc(), F.col("n").desc(), "h").limit(head_size).collect()
+    top = frequent(counts, head_size)
     head = Head(np.array([r["h"] for r in top], np.int64).view(U), np.array([r["n"] for r in top], np.float64))
-    if len(top) < head_size:
-        rare = counts.where("false")
-    else:
-        last = top[-1]
-        rare = counts.where((F.col("h") != end) & ((F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.col("h") > last["h"])))
+    least = min((r["n"] for r in top if r["h"] != end), default=None)
+    rare = counts.where((F.col("h") != end) & (F.lit(True) if least is None else F.col("n") < least))
 
     table = common.cut(id_table(rows, sc.broadcast(head)).withColumn("row", F.monotonically_increasing_id()), "ids")
     # tasks of two million tokens or more learn better than many small ones
-    train = table.where("not held_out").select("doc_id", "ids").coalesce(max(1, n // 2_000_000))
-    of = cluster(neighbour_counts(train)) if n else np.zeros(IDS, np.int64)
+    tasks = max(1, n // 2_000_000)
+    train = table.where("not held_out").select("doc_id", "ids").coalesce(tasks)
+    of = cluster(neighbour_counts(train, tasks)) if n else np.zeros(IDS, np.int64)
 
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for k, r in enumerate(top):
@@ -313,7 +340,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     step = int(np.clip(n // 400, 512, 1 << 15))
     first = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     for part in (train.where(first), train.where(~first)) if n else ():
-        state = gradient_round(part, sc.broadcast((*state, of)), step)
+        state = gradient_round(part, sc.broadcast((*state, of)), step, tasks=tasks)
     model = sc.broadcast((state[0], of, inside))
     out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_log", pa.float64()), ("known", pa.int64()), ("in_class", pa.float64())])
 

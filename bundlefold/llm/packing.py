@@ -6,7 +6,11 @@ shortest so far, counts of equal packs moved together. The resulting patterns go
 knows its rank among the pieces of its length, and the patterns say which ranks of a length lie in which sequences.
 
 Ranks come from a salted window: counts by (length, bucket) give each bucket's first rank, so that no length, however
-frequent, lies in one task. Null and empty texts have the end id only. Repeated rows are packed each.
+frequent, lies in one task. A bucket has PER_BUCKET pieces at most, save by chance.
+
+Null and empty texts have the end id only. Repeated rows are packed each, rows with a null id too. A very long text is encoded
+in stretches and cut into several pieces. Pieces that tie go by id, start and checksum; those alike in all stand for each
+other. An empty table gives an empty result. Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SIZE = 4096
+#: Pieces of one length that one task ranks.
+PER_BUCKET = 2_000
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
@@ -101,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_co
     return rows.mapInArrow(common.lean(work), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = PER_BUCKET) -> DataFrame:
     """The pieces with the sequence and the offset in it that each is given. Sequences are filled from offset 0
     without gaps, up to `size`."""
     cut = common.cut(pieces(docs, tokenizer, end_id, size, id_col, text_col), "pieces")

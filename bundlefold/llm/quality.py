@@ -7,7 +7,11 @@ is numpy stochastic gradient descent on a bounded sample of labelled rows: at mo
 `most_bytes` of text, chosen by the hash of the id. Scoring reads every whole text. As the mean and the linear layer
 commute, each feature's vector is folded into one number before scoring, and a text needs a sum of table look-ups.
 
-Null and empty texts have no features and get the prior of the training labels. Repeated rows are scored each.
+Null and empty texts have no features and get the prior of the training labels. Very long texts are scored whole, a slice of
+their own. Repeated rows are scored each, and alike; scores that tie need no order. A row with a null id is scored like any
+other; it counts as not held out, as no remainder is 0, but no label can belong to it, so it is never learned from. An empty
+table gives an empty result; without labels every score is 0.5. Of documents and labels only the id, the text and the label
+are read; where rows are filtered all columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -90,12 +94,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float = 3.0, seed: int = 7) -> Model:
-    """Stochastic gradient descent, a text a step, its features' counts as weights, the rate falling to 0."""
-    rng = np.random.default_rng(seed)
-    labels = np.asarray(labels, np.int64)
+def train(texts: list[bytes], labels: np.ndarray, **how) -> Model:
+    """The model of some labelled texts, its vectors folded."""
     if not len(labels):
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
+    vectors, out, bias = fit(texts, labels, **how)
+    return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+
+
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float = 3.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stochastic gradient descent, a text a step, its features' counts as weights, the rate falling to 0. Returns the
+    features' vectors, the classes' and their biases."""
+    rng = np.random.default_rng(seed)
+    labels = np.asarray(labels, np.int64)
     share = (labels.sum() + 1) / (len(labels) + 2)
     prior = float(np.log(share / (1 - share)))
     rows = []
@@ -123,7 +134,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float =
             back = p @ out
             out -= lr * 0.2 * np.outer(p, mean)
             vectors[f] -= (lr * w * min(len(f), 300))[:, None] * back
-    return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+    return vectors, out, bias
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[bytes], list[int]]:

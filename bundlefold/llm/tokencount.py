@@ -2,7 +2,8 @@
 
 Batches are balanced by bytes, long texts are split where no token can span, and each distinct stretch of text is
 encoded once in a worker (see encoder). Null texts are empty; empty texts have 0 tokens; repeated rows are counted
-each; an empty table gives an empty result; other columns are not read.
+each, rows with a null id too; there are no ties to break. An empty table gives an empty result; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ table of 256 control bytes.
     u32[blocks] data bytes of each, then for each block its control and data bytes; u32 crc32 of all before
 
 Documents lie in ascending doc_id order (nulls first, ties by the text's hash); file names are unique to a task attempt and a
-manifest lists those that count, so a task that is run again does no harm. A null text is empty: only the end id.
+manifest lists those that count, so a task that is run again does no harm. A null or empty text has only the end id. Repeated
+rows are written each. A very long text is encoded in stretches and never split between files. An empty table gives no files
+and empty results. Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -34,12 +34,16 @@ def test_stages(spark):
 
 def test_odd_rows(spark):
     rows = [(1, "some words that are fine here", "en", "a", 5), (1, "some words that are fine here", "en", "a", 5), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "some words that are fine here", "en", "b", 3), (4, "x" * 200_000, "en", "b", 1)]
-    docs = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, `__one` string")
+    rows += [(5, "one of two texts of an id that have no words in common", "en", "b", 9), (5, "quite another one here, which stays too", "en", "b", 9)]
+    docs = spark.createDataFrame([(*r, "extra", {"a": 1}, 0.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, `__one` string, m map<string,int>, score double")
+    kept = P.quality(spark, docs, SF)
+    good = sorted(str(r.doc_id) for r in quality_scores(docs, common.table(spark, SF, "labels")).collect() if r.predicted)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == good
     for name, stage in P.STAGES[1:-1]:
         docs = common.cut(stage(spark, docs, SF), "odd")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "__one"], name
-    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "3", "4", "None"]
-    assert P.packing(spark, docs, SF).select("doc_id").distinct().count() == 5
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "__one", "m", "score"], name
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "3", "4", "5", "5", "None"]
+    assert P.packing(spark, docs, SF).select("doc_id").distinct().count() == 6
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0
