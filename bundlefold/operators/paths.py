@@ -11,28 +11,34 @@ from ..tables import keep
 
 def entry_paths(entries: DataFrame) -> DataFrame:
     """entry_id, components (array<binary>), path (segments joined, "." for the root) and depth, from entry_id, parent_id
-    and name. Every round doubles the stretch of ancestors that a row knows, so a tree of depth d takes log2(d) joins.
-    A parent that isn't there, or a circle, stops the query."""
-    root = F.array().cast("array<binary>")
-    at = entries.select("entry_id", F.col("parent_id").alias("above"), F.when(F.col("parent_id").isNull(), root).otherwise(F.array("name")).alias("components"))
-    rounds = 0
+    and name. Every round doubles the stretch of ancestors that a parent knows, so a tree of depth d takes log2(d) joins of
+    what has children; the rest, most of a tree, is joined with its parents once. A parent that isn't there, or a circle,
+    stops the query."""
+    lost = lambda above: F.raise_error(F.concat(F.lit("missing parent "), above.cast("string")))
+    own = F.when(F.col("parent_id").isNull(), F.array().cast("array<binary>")).otherwise(F.array("name"))
+    rows = entries.select("entry_id", F.col("parent_id").alias("above"), own.alias("components"))
+    parents = keep(rows.where("above is not null").select(F.col("above").alias("entry_id")).distinct(), "parents")
+    at, rounds = rows.join(parents, "entry_id", "left_semi"), 0
     while True:
         at = keep(at, "paths")
         if rounds > 40 or at.where("above is not null").isEmpty():
             break
         up = at.select(F.col("entry_id").alias("above"), F.col("above").alias("__above"), F.col("components").alias("__before"), F.lit(True).alias("__there"))
         joined = at.join(up, "above", "left")
-        lost = F.col("above").isNotNull() & F.col("__there").isNull()
         at = joined.select(
             "entry_id",
-            F.when(lost, F.raise_error(F.concat(F.lit("missing parent "), F.col("above").cast("string"))).cast("long")).otherwise(F.col("__above")).alias("above"),
+            F.when(F.col("above").isNotNull() & F.col("__there").isNull(), lost(F.col("above")).cast("long")).otherwise(F.col("__above")).alias("above"),
             F.when(F.col("above").isNull(), F.col("components")).otherwise(F.concat("__before", "components")).alias("components"),
         )
         rounds += 1
     if rounds > 40:
         raise ValueError("parents go round in a circle")
+    over = at.select(F.col("entry_id").alias("above"), F.col("components").alias("__before"))
+    whole = F.when(F.col("above").isNull(), F.col("components")).when(F.col("__before").isNull(), lost(F.col("above")).cast("array<binary>")).otherwise(F.concat("__before", "components"))
+    rest = rows.join(parents, "entry_id", "left_anti").join(over, "above", "left").select("entry_id", whole.alias("components"))
     text = F.array_join(F.transform("components", lambda x: lossy_utf8(x)), "/")
-    return at.select("entry_id", "components", F.when(F.size("components") == 0, ".").otherwise(text).alias("path"), F.size("components").alias("depth"))
+    every = at.select("entry_id", "components").unionAll(rest)
+    return every.select("entry_id", "components", F.when(F.size("components") == 0, ".").otherwise(text).alias("path"), F.size("components").alias("depth"))
 
 
 def entry_paths_sql(entries: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def extents_of(entries: DataFrame, target: int, threshold: int, partitions: int
     if target <= 0 or threshold < 0:
         raise ConfigError("the bundle target has to be above 0, the threshold 0 or more")
     spark = entries.sparkSession
-    files = in_order(entries.where(carries_data()).select("entry_id", "size"), ["entry_id"], partitions=partitions)
+    files = in_order(entries.where(carries_data()).select("entry_id", "size"), ["entry_id"], partitions=partitions, cheap=True)
     stretch = files.select("__part", "__at", "entry_id", "size")
 
     def summarise(key, table):

@@ -26,9 +26,9 @@ class Plan:
         self.entries, self.extents, self.bundles = entries, extents, bundles
 
 
-def plan_archive(scan: DataFrame, config: PackConfig, partitions: int | None = None) -> Plan:
-    """scan: numbered entries with hard links resolved."""
-    scan = keep(scan, "scan")
+def plan_archive(scan: DataFrame, config: PackConfig, partitions: int | None = None, kept: bool = False) -> Plan:
+    """scan: numbered entries with hard links resolved; kept: they are a table in the shared folder."""
+    scan = scan if kept else keep(scan, "scan")
     extents = keep(extents_of(scan, config.bundle_target_bytes, config.small_file_threshold, partitions), "extents")
     return Plan(planned_entries(scan, extents, partitions), extents, bundles_of(extents))
 
@@ -58,7 +58,7 @@ def pack(spark: SparkSession, source: str | DataFrame, output: str, config: Pack
     config, clock = config or PackConfig(), _Clock()
     scan = keep(with_hardlinks(with_entry_ids(read_tree(spark, source))) if isinstance(source, str) else source, "scan")
     clock.lap("scan")
-    plan = plan_archive(scan, config)
+    plan = plan_archive(scan, config, kept=True)
     entries, extents, bundles = keep(plan.entries, "entries"), plan.extents, keep(plan.bundles, "bundles")
     flags = entries.agg(feature_bits(entries, config.integrity == "strong", config.preserve_owner)).first()[0]
     raw = manifest_bytes(entries, extents, bundles)

@@ -63,7 +63,7 @@ def write_container(path: str, manifest_raw: bytes, counts: tuple[int, int, int]
     with open(temporary, "wb") as out:
         out.write(begin)
     step = F.col("encoded_len") + layout.FRAME_LEN
-    places = in_order(frames.select("bundle_id", "encoded_len"), ["bundle_id"], sums={"place": step}).select("bundle_id", "place")
+    places = in_order(frames.select("bundle_id", "encoded_len"), ["bundle_id"], sums={"place": step}, cheap=True).select("bundle_id", "place")
     n, raw, payload = frames.agg(F.count("*"), F.coalesce(F.sum("raw_len"), F.lit(0)), F.coalesce(F.sum("encoded_len"), F.lit(0))).first()
     if n != counts[2]:
         raise FormatError(f"{n} frames for {counts[2]} bundles")

@@ -47,14 +47,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_order(df: DataFrame, order: Sequence[str | Column], number: str | None = None, sums: dict[str, Column] | None = None, partitions: int | None = None) -> DataFrame:
+def in_order(df: DataFrame, order: Sequence[str | Column], number: str | None = None, sums: dict[str, Column] | None = None, partitions: int | None = None, cheap: bool = False) -> DataFrame:
     """df with, over the order of some columns (which has to be total), `number` (rows before) and for each of `sums` the
     sum over the rows before. Rows are dealt out by ranges of the order and numbered in their partition; the totals of
-    the partitions, one row each, make up the offsets. __part and __at keep the order: partition and place in it."""
+    the partitions, one row each, make up the offsets. __part and __at keep the order: partition and place in it. cheap: df is
+    little more than a table in the shared folder, which is read again rather than written once more."""
     spark = df.sparkSession
     sums = sums or {}
     at = F.monotonically_increasing_id()  # partition << 33 | place in the partition
-    if not partitions:
+    if not partitions and not cheap:
         df = keep(df, "unordered")  # else what leads to df is computed for the count, for the ranges and for the rows
     n = partitions or max(1, -(-df.count() // ROWS))
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order) if n > 1 else df.coalesce(1).sortWithinPartitions(*order)
