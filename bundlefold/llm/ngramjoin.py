@@ -213,7 +213,9 @@ def _linked(texts: DataFrame, size: int, threshold: float, recall: float) -> tup
     going = meetings.groupBy("node").agg(F.collect_list(F.struct("x", "y", "side")).alias("to"))  # blocks of its buckets
     members = going.join(classes, "node").select("node", F.col("rep").alias("doc_id"), "k1", "k2", "copies", "to")
     members = common.cut(members, "members")
-    grams = gram_sets(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), size, bands, rows)
+    # a table of ids alone, by whose size Spark sees whether it can be sent to every task, so that no text is shuffled
+    named = common.cut(members.select("doc_id").distinct(), "candidates")
+    grams = gram_sets(texts.join(named, "doc_id", "left_semi"), size, bands, rows)
     dealt = grams.join(members, ["doc_id", "k1", "k2"]).select("node", "copies", "bands", "grams", F.explode("to").alias("to")).select("node", "copies", "bands", "grams", "to.*")
 
     def verify(key, block):
