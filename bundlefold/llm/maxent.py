@@ -42,6 +42,8 @@ FEATURES, PARTS = 1 << 16, 64
 #: The end token's hash: no word's, as words are hashed with their lengths (and if one had it, it would count as the end).
 END = U(0x5DEECE66D1234567)
 _FLUSH = 1 << 21
+#: Tasks whose blobs are added up in a step.
+FAN_IN = 32
 #: Counts below which a word's rank is told exactly; above, in 64 steps to each doubling.
 EXACT = 4096
 _COUNTS = pa.schema([("h", pa.int64()), ("tail", pa.int32()), ("n", pa.int64())])
@@ -182,8 +184,8 @@ def frequent(counts: DataFrame, most: int) -> list:
 
 
 def sum_blobs(rows: DataFrame, kind: str, tasks: int) -> dict[int, np.ndarray]:
-    """Adds up blobs part by part, in a tree: `tasks` tasks in groups of about the square root of their number, then the
-    groups; each step keeps one running sum a part. The result has a fixed size."""
+    """Adds up the blobs of some tasks part by part, in a tree whose steps add up FAN_IN tasks each; every step keeps one
+    running sum a part. The result has a fixed size."""
 
     def work(batches):
         total: dict[int, np.ndarray] = {}
@@ -194,10 +196,10 @@ def sum_blobs(rows: DataFrame, kind: str, tasks: int) -> dict[int, np.ndarray]:
         for p, x in total.items():
             yield common.batch_of(_BLOB, [p], [x.tobytes()])
 
-    groups = int(np.ceil(np.sqrt(tasks)))
-    if groups > 2:
-        group = F.pmod(F.spark_partition_id(), F.lit(groups))
-        rows = rows.withColumn("group", group).repartition(PARTS * groups, "part", "group").drop("group").mapInArrow(common.lean(work), "part int, blob binary")
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        group = F.pmod(F.spark_partition_id(), F.lit(tasks))
+        rows = rows.withColumn("group", group).repartition(PARTS * tasks, "part", "group").drop("group").mapInArrow(common.lean(work), "part int, blob binary")
     got = rows.repartition(PARTS, "part").mapInArrow(common.lean(work), "part int, blob binary").collect()
     return {r["part"]: np.frombuffer(r["blob"], kind) for r in got}
 
