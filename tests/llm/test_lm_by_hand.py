@@ -83,3 +83,11 @@ def test_most_frequent_words(spark):
         ranked = sorted((r for r in rows if r[0] != end), key=lambda r: (-r[1], r[0]))
         fits = [r for r in ranked if sum(x[1] >= r[1] for x in ranked) <= most - 1]
         assert got == [(end, 1), *fits]
+
+
+def test_blobs_are_added_up_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(M, "FAN_IN", 3)
+    rows = [(k % 5, np.array([k, 1.0], "<f4").tobytes()) for k in range(200)]
+    df = spark.createDataFrame(rows, "part int, blob binary").repartition(20)
+    got = {p: x.tolist() for p, x in M.sum_blobs(df, "<f4", 20).items()}
+    assert got == {p: [float(sum(range(p, 200, 5))), 40.0] for p in range(5)}
