@@ -1,8 +1,9 @@
 """Restoring a tree: folders by depth, files by entry, then links, then the folders' own metadata.
 
 Every path is opened segment by segment below the output folder, links not followed, so no link in the way leads out of
-it. Files are written under another name and renamed, so a task that runs again does no harm; whether something stands
-in the way is found out before anything is written.
+it. Files are written under another name and renamed, so a task that runs again does no harm; the other names hold the
+mark of the run, and what lost tasks have left under them is removed by sweep(). Whether something stands in the way is
+found out before anything is written.
 """
 
 from __future__ import annotations
@@ -156,88 +157,119 @@ def check_free(paths: DataFrame, root: str) -> None:
     _each(paths.select("components"), root, look)
 
 
+def _temporary(run: str) -> bytes:
+    """The name of what isn't whole yet."""
+    return f".{run}-{uuid.uuid4().hex}.part".encode()
+
+
 def _replace(fd: int, temporary: bytes, name: bytes, where: tuple[bytes, ...]) -> None:
     try:
-        if stat.S_ISDIR(os.stat(name, dir_fd=fd, follow_symlinks=False).st_mode):
-            raise FileSystemError(f"{os.fsdecode(b'/'.join((*where, name)))} is a folder")
-    except FileNotFoundError:
-        pass
-    os.rename(temporary, name, src_dir_fd=fd, dst_dir_fd=fd)
+        with contextlib.suppress(FileNotFoundError):
+            if stat.S_ISDIR(os.stat(name, dir_fd=fd, follow_symlinks=False).st_mode):
+                raise FileSystemError(f"{os.fsdecode(b'/'.join((*where, name)))} is a folder")
+        os.rename(temporary, name, src_dir_fd=fd, dst_dir_fd=fd)
+    except BaseException:
+        with contextlib.suppress(OSError):
+            os.unlink(temporary, dir_fd=fd)
+        raise
+
+
+class _Writing:
+    """A file that is written under another name, until finish() or drop(); holds two open files meanwhile."""
 
+    def __init__(self, folders: Folders, row: dict, run: str):
+        self.row, self.temporary, self.written, self.out = row, _temporary(run), 0, -1
+        self.where, self.name = _split(row["components"])
+        self.fd = os.dup(folders.at(self.where))  # stays open if the cache lets its own go
+        try:
+            self.out = os.open(self.temporary, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW, 0o600, dir_fd=self.fd)
+        except BaseException:
+            os.close(self.fd)
+            raise
+
+    def add(self, data: bytes, at: int) -> None:
+        self.written += len(data)
+        while data:
+            n = os.pwrite(self.out, data, at)
+            data, at = data[n:], at + n
+
+    def finish(self, owner: bool) -> None:
+        row = self.row
+        if self.written != row["size"]:
+            raise FileSystemError(f"{os.fsdecode(self.name)}: {self.written} bytes instead of {row['size']}")
+        _metadata(self.out, row["mode"], row["uid"], row["gid"], row["mtime_sec"], row["mtime_nsec"], owner)
+        out, self.out = self.out, -1
+        os.close(out)
+        _replace(self.fd, self.temporary, self.name, self.where)
+        os.close(self.fd)
+
+    def drop(self) -> None:
+        if self.out >= 0:
+            os.close(self.out)
+        with contextlib.suppress(OSError):
+            os.unlink(self.temporary, dir_fd=self.fd)
+        os.close(self.fd)
 
-def write_files(pieces: DataFrame, files: DataFrame, root: str, owner: bool) -> dict:
+
+def write_files(pieces: DataFrame, files: DataFrame, root: str, owner: bool, run: str = "") -> dict:
     """Writes regular files from their pieces (entry_id, file_offset, piece); files has components and metadata. A file
     without pieces is empty. All pieces of a file go to one task, in order, and are written one after the other."""
     bound_batches(files.sparkSession)
     columns = ("entry_id", "components", "size", "mode", "uid", "gid", "mtime_sec", "mtime_nsec")
     # files of neighbouring ids share folders; a run of them is a task's, however few bytes they have
     tasks = max(1, min(MOST_TASKS, -(-files.count() // FILES)))
-    run = F.expr(f"entry_id div {FILES}")
-    rows = files.select(*columns).join(pieces, "entry_id", "left").repartition(tasks, run).sortWithinPartitions("entry_id", "file_offset")
+    stretch = F.expr(f"entry_id div {FILES}")
+    rows = files.select(*columns).join(pieces, "entry_id", "left").repartition(tasks, stretch).sortWithinPartitions("entry_id", "file_offset")
 
     def work(batches):
         total = [0, 0, 0]
         begun = time.monotonic_ns()
+        held = None
         with Folders(root) as folders:
-            held = None
-
-            def finish():
-                row, fd, out, temporary, name, where, written = held
-                try:
-                    if written != row["size"]:
-                        raise FileSystemError(f"{os.fsdecode(name)}: {written} bytes instead of {row['size']}")
-                    _metadata(out, row["mode"], row["uid"], row["gid"], row["mtime_sec"], row["mtime_nsec"], owner)
-                finally:
-                    os.close(out)
-                _replace(fd, temporary, name, where)
-                total[0] += 1
-
-            for batch in batches:
-                for row in batch.to_pylist():
-                    if held and held[0]["entry_id"] != row["entry_id"]:
-                        finish()
-                        held = None
-                    if held is None:
-                        where, name = _split(row["components"])
-                        fd = folders.at(where)
-                        temporary = b".%s.part" % uuid.uuid4().hex.encode()
-                        out = os.open(temporary, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW, 0o600, dir_fd=fd)
-                        fd = os.dup(fd)  # stays open if the cache lets its own go
-                        held = [row, fd, out, temporary, name, where, 0]
-                    if row["piece"] is not None:
-                        data, at = row["piece"], row["file_offset"]
-                        while data:
-                            n = os.pwrite(held[2], data, at)
-                            data, at = data[n:], at + n
-                        held[6] += len(row["piece"])
-                        total[1] += 1
-                        total[2] += len(row["piece"])
-            if held:
-                finish()
+            try:
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        if held and held.row["entry_id"] != row["entry_id"]:
+                            held.finish(owner)
+                            held = None
+                            total[0] += 1
+                        if held is None:
+                            held = _Writing(folders, row, run)
+                        if row["piece"] is not None:
+                            held.add(row["piece"], row["file_offset"])
+                            total[1] += 1
+                            total[2] += len(row["piece"])
+                if held:
+                    held.finish(owner)
+                    held = None
+                    total[0] += 1
+            finally:
+                if held:
+                    held.drop()
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*total, time.monotonic_ns() - begun)], schema=_COUNTS)
 
     r = rows.mapInArrow(work, "files long, extents long, bytes long, ns long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS.names]).first()
     return r.asDict()
 
 
-def make_symlinks(links: DataFrame, root: str) -> dict:
+def make_symlinks(links: DataFrame, root: str, run: str = "") -> dict:
     """Symbolic links with their targets' bytes as they are; times and modes of links aren't restored."""
 
     def make(at: Folders, row):
         where, name = _split(row["components"])
-        fd, temporary = at.at(where), b".%s.part" % uuid.uuid4().hex.encode()
+        fd, temporary = at.at(where), _temporary(run)
         os.symlink(row["link_target"], temporary, dir_fd=fd)
         _replace(fd, temporary, name, where)
 
     return _each(links.select("components", "link_target"), root, make)
 
 
-def make_hardlinks(links: DataFrame, root: str) -> dict:
+def make_hardlinks(links: DataFrame, root: str, run: str = "") -> dict:
     """Hard links to their masters, which are there by now. links: components, master (the master's components)."""
 
     def make(at: Folders, row):
         (where, name), (there, old) = _split(row["components"]), _split(row["master"])
-        fd, temporary = os.dup(at.at(where)), b".%s.part" % uuid.uuid4().hex.encode()
+        fd, temporary = os.dup(at.at(where)), _temporary(run)
         try:
             os.link(old, temporary, src_dir_fd=at.at(there), dst_dir_fd=fd, follow_symlinks=False)
             _replace(fd, temporary, name, where)
@@ -249,6 +281,22 @@ def make_hardlinks(links: DataFrame, root: str) -> dict:
     return _each(links.select("components", "master"), root, make)
 
 
+def sweep(folders: DataFrame, root: str, run: str) -> int:
+    """Removes what tasks of this run that were lost or run again have left under temporary names, in the folders given,
+    the root among them. How many there were. Folders' times change, so it comes before finish_folders()."""
+    mark = f".{run}-".encode()
+
+    def look(at: Folders, row):
+        fd, n = at.at(tuple(bytes(p) for p in row["components"])), 0
+        for name in map(os.fsencode, os.listdir(fd)):
+            if name.startswith(mark) and name.endswith(b".part"):
+                os.unlink(name, dir_fd=fd)
+                n += 1
+        return n, 0, 0
+
+    return _each(folders.select("components"), root, look)["files"]
+
+
 def finish_folders(folders: DataFrame, root: str, owner: bool) -> int:
     """Modes and times of all folders but the root. Where one of them will be closed to its owner, deepest first."""
     inner = folders.where("depth > 0")
