@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,13 +97,15 @@ def _unpack(spark: SparkSession, archive: str, output: str, config: UnpackConfig
     setup = clock.total()
     pieces = pieces_of(frames, extents, header["data_codec"])
     clock.lap("decode")
-    files = restore.write_files(pieces, paths.where("kind = 'regular'"), output, owner)
+    run = uuid.uuid4().hex
+    files = restore.write_files(pieces, paths.where("kind = 'regular'"), output, owner, run)
     clock.lap("scatter")
     pipeline = clock.total() - setup
-    symlinks = restore.make_symlinks(paths.where("kind = 'symlink'"), output)
+    symlinks = restore.make_symlinks(paths.where("kind = 'symlink'"), output, run)
     masters = paths.select(F.col("entry_id").alias("hardlink_master_entry_id"), F.col("components").alias("master"))
     links = paths.where("kind = 'hardlink'").drop("master").join(masters, "hardlink_master_entry_id")
-    hardlinks = restore.make_hardlinks(links, output)
+    hardlinks = restore.make_hardlinks(links, output, run)
+    restore.sweep(paths.where("kind in ('root', 'directory')"), output, run)
     finished = restore.finish_folders(folders, output, owner)
     if trailer and not config.trailer_first:
         try:
