@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +52,10 @@ class Archive:
             raise FormatError("the manifest's counts aren't the header's")
         return m
 
-    def frame_headers(self) -> Iterator[tuple[int, tuple[int, int, int, int, int]]]:
-        """Offset of the payload and header of each frame, which have to ascend by bundle."""
-        at, last = self.frames_at, -1
-        for _ in range(self.header["bundle_count"]):
+    def frame_headers(self, known: list | tuple = ()) -> Iterator[tuple[int, tuple[int, int, int, int, int]]]:
+        """Offset of the payload and header of each frame after those known, which have to ascend by bundle."""
+        at, last = (known[-1][0] + known[-1][1][2], known[-1][1][0]) if known else (self.frames_at, -1)
+        for _ in range(len(known), self.header["bundle_count"]):
             self.file.seek(at)
             h = layout.read_frame_header(self.file.read(layout.FRAME_LEN))
             if h[0] <= last:
@@ -107,6 +107,18 @@ class _Part(InputPartition):
         self.path, self.frames = path, frames
 
 
+def _ranges(path: str, frames: Iterable) -> list[_Part]:
+    """Frames dealt out to tasks by their encoded bytes."""
+    out, held, size = [], [], 0
+    for at, h in frames:
+        held.append((at, h))
+        size += h[2]
+        if size >= RANGE_BYTES:
+            out.append(_Part(path, held))
+            held, size = [], 0
+    return [*out, _Part(path, held)] if held else out
+
+
 def _frame_batches(path: str, frames: list) -> Iterator[pa.RecordBatch]:
     with open(path, "rb") as f:
         for at, (bundle_id, raw_len, encoded_len, flags, value) in frames:
@@ -131,17 +143,7 @@ class ContainerReader(DataSourceReader):
             return [_Part(p) for p in self.paths]
         out = []
         for path in self.paths:
-            held, size = [], 0
-            for at, h in Archive(path).frame_headers():
-                if not all(test(h[0]) for test in self.tests):
-                    continue
-                held.append((at, h))
-                size += h[2]
-                if size >= RANGE_BYTES:
-                    out.append(_Part(path, held))
-                    held, size = [], 0
-            if held:
-                out.append(_Part(path, held))
+            out += _ranges(path, (f for f in Archive(path).frame_headers() if all(test(f[1][0]) for test in self.tests)))
         return out or [_Part("", [])]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
@@ -179,17 +181,18 @@ class PushingReader(ContainerReader):
 
 
 class FrameStream(DataSourceStreamReader):
-    """A stream of the frames that are whole; a container may still be written at its end."""
+    """A stream of the frames that are whole; a container may still be written at its end. A batch is all of them that
+    have come, read in ranges by as many tasks, or framesPerBatch at most."""
 
     def __init__(self, options: dict):
-        self.path, self.most = options["path"].removeprefix("file:"), int(options.get("framesPerBatch", 64))
+        self.path, self.most = options["path"].removeprefix("file:"), int(options.get("framesPerBatch", 0))
         self.known: list = []
         self.given = 0
 
     def _whole(self) -> list:
-        size, out = os.path.getsize(self.path), []
+        size, out = os.path.getsize(self.path), self.known
         try:
-            for at, h in Archive(self.path).frame_headers():
+            for at, h in Archive(self.path).frame_headers(out):
                 if at + h[2] > size:
                     break
                 out.append((at, h))
@@ -202,13 +205,13 @@ class FrameStream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         self.known = self._whole()
-        self.given = min(len(self.known), self.given + self.most)
+        self.given = min(len(self.known), self.given + self.most) if self.most else len(self.known)
         return {"frame": self.given}
 
     def partitions(self, start: dict, end: dict) -> list[_Part]:
         self.given = max(self.given, end["frame"])
         known = self.known if len(self.known) >= end["frame"] else self._whole()
-        return [_Part(self.path, known[start["frame"] : end["frame"]])]
+        return _ranges(self.path, known[start["frame"] : end["frame"]]) or [_Part(self.path, [])]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         yield from _frame_batches(partition.path, partition.frames)

@@ -9,9 +9,9 @@ from ..functions import codecs
 from ..sources.container import ContainerSource
 
 
-def frame_stream(spark: SparkSession, path: str, per_batch: int = 64) -> DataFrame:
+def frame_stream(spark: SparkSession, path: str, per_batch: int = 0) -> DataFrame:
     """The frames of a container as they are written: each is given once it is whole. Offsets are frame numbers, so a
-    query that starts again goes on where it stopped."""
+    query that starts again goes on where it stopped. A batch is all that have come, or per_batch frames at most."""
     spark.dataSource.register(ContainerSource)
     return spark.readStream.format("container").option("table", "frames").option("framesPerBatch", per_batch).load(path)
 
