@@ -512,14 +512,12 @@ def dump_file(spark, d):
     """Extents as the JSON file of a dump tells them."""
     import uuid
 
-    from .plans.dump import dump, write_json
+    from .plans.dump import dumped_extents, write_dump
     from .tables import shared_folder
 
-    told = dump(spark, _container(spark, d, integrity="strong"))
     path = f"{shared_folder(spark).removeprefix('file://')}/dump-{uuid.uuid4().hex}.json"
-    write_json(told, path)
-    rows = spark.read.schema(told.schema).json(f"file://{path}", multiLine=True).select(F.explode("manifest.extents").alias("x"))
-    return rows.select("x.entry_path", "x.entry_id", "x.bundle_id", "x.file_offset", "x.raw_offset_in_bundle", "x.raw_len")
+    write_dump(spark, _container(spark, d, integrity="strong"), path)
+    return dumped_extents(spark, path).select("entry_path", "entry_id", "bundle_id", "file_offset", "raw_offset_in_bundle", "raw_len")
 
 
 @query(f"WITH RECURSIVE {_DOCS}, {_PLAN} SELECT 'archive' AS archive, {_B('count(DISTINCT bundle_id)', 'frames')}, {_B('sum(raw_len)', 'raw_bytes')}, true AS matches_trailer FROM extents")
