@@ -1,4 +1,4 @@
-"""What the operators share: table loading, the shared folder, Arrow batch sizes, column bytes."""
+"""What the operators share: table loading, the shared folder, Arrow batch sizes, column bytes, what workers keep."""
 
 from __future__ import annotations
 
@@ -16,6 +16,9 @@ from .. import tables
 
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 1 << 18
+#: What tasks keep in this process for the next tasks of the same work, and which work that is.
+_held: dict = {}
+_work = ""
 
 
 prepare = tables.bound_batches
@@ -106,17 +109,41 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
+def held(key, make: Callable):
+    """make(), made once and kept in this process until a task of other work begins in it (see lean)."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def begin(work: str) -> None:
+    """A task of some work begins: what other work has held goes, as a worker serves all steps of a job in turn and would
+    else keep the tables of each of them beside those of the next."""
+    global _work
+    if work != _work:
+        _work = work
+        _held.clear()
+        give_back()
+
+
 def lean(work: Callable) -> Callable:
     """work, which goes through the batches of a task, and then gives the memory it has freed back to the system, as
-    workers wait for later tasks beside the busy ones."""
+    workers wait for later tasks beside the busy ones. What it holds (held) stays for its own later tasks alone."""
+    own = uuid.uuid4().hex
 
     def run(batches: Iterator) -> Iterator:
+        begin(own)
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc
-            pass
+        give_back()
 
     return run
 

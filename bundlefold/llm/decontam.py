@@ -30,7 +30,6 @@ MOST = 4 << 20
 GATHER = 32 << 20
 
 _LOW = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_built: dict[tuple[str, int], tuple] = {}
 
 
 def words(text: str | bytes | None) -> list[bytes]:
@@ -100,14 +99,15 @@ class Benchmark:
         self.path, self.groups, self.width = path, groups, width
 
     def machine(self, group: int) -> tuple:
-        """A group's automaton and the ids of its items. A worker keeps one group's, so a lone one is built once."""
-        if (self.path, group) not in _built:
-            _built.clear()
-            from . import files
+        """A group's automaton and the ids of its items. A lone group's is built once in a worker; of several one at a time
+        is in memory."""
+        return common.held(("benchmark", self.path), lambda: self._built(group)) if self.groups == 1 else self._built(group)
 
-            items = sorted(((i, words(t)) for i, t in files.parquet_rows(f"{self.path}/group={group}", ["i", "t"])), key=lambda x: (x[0] or "", x[0] is None, x[1]))
-            _built[self.path, group] = automaton(items, self.width), [i for i, _ in items]
-        return _built[self.path, group]
+    def _built(self, group: int) -> tuple:
+        from . import files
+
+        items = sorted(((i, words(t)) for i, t in files.parquet_rows(f"{self.path}/group={group}", ["i", "t"])), key=lambda x: (x[0] or "", x[0] is None, x[1]))
+        return automaton(items, self.width), [i for i, _ in items]
 
     def scans(self, raws: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         """Of each text the number of words, the hit runs of words, and the ids of items hit, sorted."""
@@ -122,6 +122,7 @@ class Benchmark:
                         hit[lo:hi] = True
                     found = runs(hit)
                 out[k] = n, found or out[k][1], out[k][2] | {names[i] for i in items if names[i] is not None}
+            machine = names = None  # before the next group's is built
         return [(n, found, sorted(items)) for n, found, items in out]
 
 

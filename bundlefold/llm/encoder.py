@@ -18,6 +18,7 @@ import os
 
 import numpy as np
 
+from . import common
 from .textscan import U, span_hashes
 
 #: Pieces kept in a worker.
@@ -27,14 +28,10 @@ SPAN = 1 << 22
 #: Marks that stand alone after letters, in either tokenizer.
 MARKS = tuple(".,;:!?|\"")
 
-_encoders: dict[str, "Encoder"] = {}
-
 
 def encoder(path: str) -> "Encoder":
     """The encoder of this process for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return common.held(("encoder", path), lambda: Encoder(path))
 
 
 class Table:

@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from . import common
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
-_pieces: dict = {}
 
 
-def _piece_lengths(path: str, texts: list[str]) -> list[int]:
-    if path not in _pieces:
-        import sentencepiece
+def _processor(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
-        _pieces[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [len(x) for x in _pieces[path].encode(texts, num_threads=1)]
+
+def _piece_lengths(path: str, texts: list[str]) -> list[int]:
+    return [len(x) for x in common.held(("sentencepiece", path), lambda: _processor(path)).encode(texts, num_threads=1)]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
