@@ -35,14 +35,19 @@ def encoder(path: str) -> "Encoder":
 
 
 class Table:
-    """Pieces by hash, open addressing: for each the place and number of its ids in a pool."""
+    """Pieces by hash, open addressing: for each the place and number of its ids in a pool. Grows with the pieces kept."""
 
     def __init__(self, most: int):
-        self.most, self.mask = most, (1 << (2 * most - 1).bit_length()) - 1
-        self.key, self.entry = np.zeros(self.mask + 1, U), np.full(self.mask + 1, -1, np.int32)
+        self.most, self.kept = most, 0
+        self._slots(min(most, 1 << 16))
         self.check, self.at, self.n = np.zeros(1024, U), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.pool, self.count, self.used = np.zeros(4096, np.uint32), 0, 0
 
+    def _slots(self, pieces: int) -> None:
+        """Empty slots, at least two for each piece."""
+        self.mask = (1 << (2 * pieces - 1).bit_length()) - 1
+        self.key, self.entry = np.zeros(self.mask + 1, U), np.full(self.mask + 1, -1, np.int32)
+
     def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Entries of pieces, -1 for unknown ones."""
         out = np.full(len(h), -1, np.int32)
@@ -76,6 +81,15 @@ class Table:
 
     def keep(self, h: np.ndarray, entries: np.ndarray) -> None:
         """Makes new entries findable. Hashes have to differ, and be unknown."""
+        self.kept += len(h)
+        if 2 * self.kept > self.mask + 1:
+            there = self.entry >= 0
+            known = self.key[there], self.entry[there]
+            self._slots(self.kept)
+            self._put(*known)
+        self._put(h, entries)
+
+    def _put(self, h: np.ndarray, entries: np.ndarray) -> None:
         slot, rows = (h & U(self.mask)).astype(np.int64), np.arange(len(h))
         while len(rows):
             free = np.flatnonzero(self.entry[slot] < 0)

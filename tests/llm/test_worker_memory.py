@@ -3,8 +3,9 @@
 import gc
 import weakref
 
+import numpy as np
 from bundlefold.llm import common, decontam
-from bundlefold.llm.encoder import encoder
+from bundlefold.llm.encoder import Table, encoder
 from bundlefold.llm.queries import tokenizer_path
 
 
@@ -48,3 +49,14 @@ def test_one_group_at_a_time(monkeypatch):
     monkeypatch.setattr(decontam, "scan", lambda machine, raw: (0, [], set()))
     decontam.Benchmark("/nowhere", 4, 13).scans([b"a text"])
     assert most == [0, 0, 0, 0]
+
+
+def test_table_grows_with_its_pieces():
+    table, h = Table(1 << 21), np.random.default_rng(1).permutation(300_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert table.key.nbytes + table.entry.nbytes < 1 << 21
+    for lo in range(0, len(h), 7_000):
+        part = h[lo : lo + 7_000]
+        table.keep(part, table.add(part, [int(x).to_bytes(4, "little") for x in range(lo, lo + len(part))]))
+    found = table.find(h, h)
+    assert (table.pool[table.at[found]] == np.arange(len(h))).all() and (table.find(h + np.uint64(1), h) == -1).all()
+    assert 2 * len(h) <= table.mask + 1 < 4 * len(h)
