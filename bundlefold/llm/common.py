@@ -135,10 +135,11 @@ def begin(work: str) -> None:
         give_back()
 
 
-def lean(work: Callable) -> Callable:
+def lean(work: Callable, name: str = "") -> Callable:
     """work, which goes through the batches of a task, and then gives the memory it has freed back to the system, as
-    workers wait for later tasks beside the busy ones. What it holds (held) stays for its own later tasks alone."""
-    own = uuid.uuid4().hex
+    workers wait for later tasks beside the busy ones. What it holds (held) stays for its own later tasks
+    alone, or for those of all work of the same name."""
+    own = name or uuid.uuid4().hex
 
     def run(batches: Iterator) -> Iterator:
         begin(own)

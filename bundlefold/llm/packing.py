@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_co
                 yield common.batch_of(_PIECES, *zip(*out, strict=True))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(common.lean(work), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(common.lean(work, tokenizer), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = PER_BUCKET) -> DataFrame:
@@ -132,4 +132,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col:
             sequence, offset = t["sequence"][at] + after // t["each"][at], t["offset"][at] + after % t["each"][at] * length
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in _PIECES), pa.array(sequence), pa.array(offset)], schema=schema)
 
-    return ranked.select(*[f.name for f in _PIECES], "rank").mapInArrow(common.lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.select(*[f.name for f in _PIECES], "rank").mapInArrow(common.lean(place, tokenizer), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

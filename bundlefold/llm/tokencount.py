@@ -45,4 +45,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 yield common.batch_of(_OUT, rows.column(0).cast(pa.int64()), np.diff(offs), n, n > limit)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(common.lean(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(common.lean(count, tokenizer), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -31,6 +31,10 @@ def test_tables_go_with_their_work(monkeypatch):
     assert len({id(x()) for x in used["packing"]}) == 1  # made once for all tasks of its work
     list(plain(iter([None])))
     assert alive("packing") == [False, False]
+    named = [common.lean(lambda batches: (used["packing"].append(weakref.ref(encoder(path))) for _ in batches), path) for _ in range(2)]
+    for step in named:
+        list(step(iter([None])))
+    assert len({id(x()) for x in used["packing"][2:]}) == 1 and alive("packing")[2:] == [True, True]
 
 
 def test_one_group_at_a_time(monkeypatch):
