@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # ranges are chosen from samples that go to the driver: ids and hashes, not texts
     ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
-    return common.cut(ordered.mapInArrow(common.lean(work), _MANIFEST), "manifest")
+    return common.cut(ordered.mapInArrow(common.lean(work, "token files"), _MANIFEST), "manifest")
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -181,7 +181,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield common.batch_of(schema, *cols)
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return placed.select("path", "before").repartition(n, "path").mapInArrow(common.lean(work), out)
+    return placed.select("path", "before").repartition(n, "path").mapInArrow(common.lean(work, "token files"), out)
 
 
 def shard_count(rows: DataFrame, most: int = 12 << 20) -> int:
